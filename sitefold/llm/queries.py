@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
-from . import exact_dedup
+from . import exact_dedup, near_dedup
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
 }
 
-ORACLE = exact_dedup.ORACLE
+ORACLE = {**exact_dedup.ORACLE, **near_dedup.ORACLE}
