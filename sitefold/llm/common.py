@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 import numpy as np
@@ -35,6 +36,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = 8 << 20):
+    """Within it, what cut() evaluates exchanges Arrow batches of about `most` bytes with Python workers.
+
+    Rows of pairs of texts are as long as both; the default of 64 MB takes several times that outside the heap.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame made by cut() that no later plan reads."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hash_words, mix, read, shingles, slices, string_bytes
+from .common import cut, hash_words, mix, read, shingles, slices, small_batches, string_bytes
 from .components import components
 
 BINS = 1024
@@ -186,6 +186,11 @@ def search_buckets(members: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links are Jaccard >= percent / 100 of k-word shingles."""
+    with small_batches(docs.sparkSession):
+        return _near_dedup(docs, k, percent)
+
+
+def _near_dedup(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sig = cut(sketch_documents(docs, k))
     known = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").cast("long").alias("rep"))

@@ -1,10 +1,11 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, near_dedup, quality_crf
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op7_quality": quality_crf.op7_quality,
 }
 
 ORACLE = {**exact_dedup.ORACLE, **near_dedup.ORACLE}
