@@ -1,11 +1,14 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
-from . import exact_dedup, near_dedup, quality_crf
+from . import exact_dedup, host_rules, mixing, near_dedup, packing, quality_crf
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_mixing": mixing.op4_mixing,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_packing": packing.op6_packing,
     "op7_quality": quality_crf.op7_quality,
+    "op10_host_rules": host_rules.op10_host_rules,
 }
 
-ORACLE = {**exact_dedup.ORACLE, **near_dedup.ORACLE}
+ORACLE = {**exact_dedup.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE, **host_rules.ORACLE}
