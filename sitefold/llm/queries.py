@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
-from . import exact_dedup, host_rules, mixing, near_dedup, packing, quality_crf
+from . import exact_dedup, host_rules, language_id, mixing, near_dedup, packing, quality_crf
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
     "op7_quality": quality_crf.op7_quality,
+    "op9_language_id": language_id.op9_language_id,
     "op10_host_rules": host_rules.op10_host_rules,
 }
 
