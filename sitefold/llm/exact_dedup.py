@@ -143,6 +143,26 @@ def exact_dedup(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFrame:
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of equal texts the one with the largest doc_id, and of repeated rows one.
+
+    Rows are picked by doc_id. Only where several rows share one are they told apart by their text's hash.
+    """
+    found = cut(exact_dedup(docs).select("doc_id", "kept", "text_sha256"))
+    stays = found.where("kept").select(F.col("doc_id").alias("d"), "text_sha256")
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("r"))
+    ids = cut(ids)
+    if ids.isEmpty():
+        return docs.join(stays.select("d"), docs.doc_id.eqNullSafe(stays.d), "left_semi")
+    single = docs.join(ids, docs.doc_id.eqNullSafe(ids.r), "left_anti")
+    single = single.join(stays.select("d"), single.doc_id.eqNullSafe(stays.d), "left_semi")
+    many = docs.join(ids, docs.doc_id.eqNullSafe(ids.r), "left_semi")
+    sha = F.sha2(_normal(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256)
+    one = many.groupBy("doc_id", sha.alias("sha")).agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
+    one = one.join(stays, one.doc_id.eqNullSafe(stays.d) & (one.sha == stays.text_sha256), "left_semi")
+    return single.unionByName(one.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns]))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 

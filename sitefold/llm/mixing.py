@@ -80,6 +80,14 @@ def mix(docs: DataFrame) -> DataFrame:
     return pareto_sample(known).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """Every row of docs as often as the mix takes it; rows of one doc_id as often as the most taken of them."""
+    copies = mix(docs).groupBy(F.col("doc_id").alias("d")).agg(F.max(F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int")).alias("__copies"))
+    taken = copies.where(F.col("__copies") > 0)
+    out = docs.join(taken, docs.doc_id.eqNullSafe(taken.d)).withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select(*docs.columns)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 

@@ -226,6 +226,12 @@ def _near_dedup(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose doc_id is its component's smallest; rows without a doc_id stay."""
+    gone = near_dedup(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"), k=4)
 

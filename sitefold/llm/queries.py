@@ -1,6 +1,8 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
-from . import exact_dedup, host_rules, language_id, mixing, near_dedup, packing, quality_crf
+import corpus_pipeline
+
+from . import chat_format, exact_dedup, host_rules, language_id, mixing, near_dedup, packing, quality_crf
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -8,8 +10,10 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
     "op7_quality": quality_crf.op7_quality,
+    "op8_chat_format": chat_format.op8_chat_format,
     "op9_language_id": language_id.op9_language_id,
     "op10_host_rules": host_rules.op10_host_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {**exact_dedup.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE, **host_rules.ORACLE}
+ORACLE = {**exact_dedup.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE, **chat_format.ORACLE, **host_rules.ORACLE}
