@@ -2,10 +2,12 @@
 
 import corpus_pipeline
 
-from . import chat_format, exact_dedup, host_rules, language_id, mixing, near_dedup, packing, quality_crf
+from . import chat_format, exact_dedup, host_rules, language_id, mixing, near_dedup, packing, quality_crf, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
