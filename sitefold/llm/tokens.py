@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
-#: Distinct chunks remembered by a worker; then the table starts anew.
-REMEMBER = 400_000
+#: Distinct chunks a worker remembers; then they become the older half, of which only what recurs is kept.
+REMEMBER = 600_000
 _ODD = re.compile("[\x1c-\x1f]")  # Python's white space, not the tokenizer's
 _PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
@@ -25,6 +26,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in stay} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Chunks and their ids; what is missing is asked of `new` and kept."""
+
+    def __init__(self, new):
+        self.new = new
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self[chunk] = self.new(chunk)
+        return got
+
+
 class Encoder:
     """ids(text): the little-endian unsigned 32-bit ids of `tokenizer.encode(text, add_special_tokens=False)`."""
 
@@ -34,39 +46,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._new)
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        got = self.known.get(piece)
+        """Ids of one lower-cased run of letters, or one of punctuation."""
+        known = self.known
+        got = known.get(piece) or self.older.get(piece)
         if got is None:
-            shown = piece.encode().decode("latin-1").translate(self.letters)
-            got = self.known[piece] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        known[piece] = got
         return got
 
     def _new(self, chunk: str) -> bytes:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        return self.older.get(chunk) or self._ids(chunk)
+
+    def _ids(self, chunk: str) -> bytes:
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self._piece(chunk.lower())
+            if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
+                return self._piece(chunk[:-1].lower()) + self._piece(chunk[-1])
         m = _PLAIN.fullmatch(chunk)
         # letters that isalpha() doesn't know, texts that normalisation changes, and the one letter whose
         # lower case depends on its neighbours take the long way
         if m and m[1].isalpha() and "Σ" not in chunk and unicodedata.is_normalized("NFC", chunk):
             low = m[1].lower()
             if low.isalpha() and unicodedata.is_normalized("NFC", low):
-                got = self._piece(low) + (self._piece(m[2]) if m[2] else b"")
-                self.known[chunk] = got
-                return got
-        got = self.known[chunk] = self._whole(chunk)
-        return got
+                return self._piece(low) + (self._piece(m[2]) if m[2] else b"")
+        return self._whole(chunk)
 
     def ids(self, text: str) -> bytes:
         if _ODD.search(text):
             return self._whole(text)
-        known = self.known
-        chunks = text.split()
-        out = [known.get(c) for c in chunks]
-        if None in out:
-            out = [self._new(c) if x is None else x for c, x in zip(chunks, out, strict=True)]
-        return b"".join(out)
+        if len(self.known) > REMEMBER:
+            self.older, self.known = self.known, _Known(self._new)
+        return b"".join(map(self.known.__getitem__, text.split()))
