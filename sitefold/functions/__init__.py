@@ -1,0 +1 @@
+"""Scalar expressions and distribution functions."""

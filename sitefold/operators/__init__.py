@@ -1,0 +1 @@
+"""The analyses."""

@@ -1,0 +1 @@
+"""Ready-made queries over the test tables."""

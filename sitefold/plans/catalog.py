@@ -1,4 +1,535 @@
-"""The queries of the statistics engine, by name, and the SQL that gives the same rows."""
+"""The queries of the statistics engine, by name, and the SQL that gives the same rows.
+
+Sites, groups and missing values are derived from the test tables' columns; every query reads whole tables.
+Means, tests and spreads are rounded in both engines, so that the order of summation can't show.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..frame import SiteFrame
+from ..functions.scalar import body_mass_index, sample_label
+from ..operators import anova as av
+from ..operators import clocks as ck
+from ..operators import fisher as fi
+from ..operators import methylation as me
+from ..operators import moments as mo
+from ..operators import pca as pc
+from ..operators import summary as su
+from ..operators import ttest as tt
+from ..policy import Policy
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+NUMBERS = ("quantity", "extendedprice", "discount", "tax")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, places: int = 6, **other: int) -> DataFrame:
+    """Doubles rounded to places, or to those named by column; adding 0 turns -0 into 0."""
+    return df.select(*[(F.round(F.col(f"`{c}`"), other.get(c, places)) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def lineitem(spark: SparkSession, sf_dir: str, station: str = "l_linestatus") -> SiteFrame:
+    """Numbers of lineitem; every third line of an order has no quantity."""
+    li = table(spark, sf_dir, "lineitem")
+    quantity = F.when(F.col("l_linenumber") == 3, None).otherwise(F.col("l_quantity"))
+    columns = [F.col(station).alias("station"), quantity.alias("quantity"), *[F.col(f"l_{c}").alias(c) for c in NUMBERS[1:]]]
+    return SiteFrame(li.select(*columns, F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("flag")))
+
+
+LI = """SELECT {station} AS station, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS quantity, l_extendedprice AS extendedprice,
+  l_discount AS discount, l_tax AS tax, l_linestatus AS status, l_returnflag AS flag FROM lineitem"""
+
+
+def long_sql(station: str, keys: str = "station", columns=NUMBERS, source: str = LI) -> str:
+    """CTEs li and x(keys, column, v)."""
+    parts = " UNION ALL ".join(f"SELECT {keys}, '{c}' AS \"column\", {c} AS v FROM li" for c in columns)
+    return f"li AS ({source.format(station=station)}), x AS ({parts})"
+
+
+# ---------------------------------------------------------------- summaries
+
+
+@query(f"""WITH {long_sql("l_linestatus")} SELECT "column", count(v) AS "count", count(*) - count(v) AS missing, min(v) AS "min", max(v) AS "max",
+  round(sum(v), 2) AS "sum", round(avg(v), 8) AS mean, round(stddev_samp(v), 6) AS std FROM x GROUP BY "column" """)
+def numeric_summary(spark, sf_dir):
+    return rounded(su.numeric_summary(lineitem(spark, sf_dir), NUMBERS), sum=2, mean=8)
+
+
+@query(f"""WITH {long_sql("l_linestatus")} SELECT station, "column", count(v) AS "count", min(v) AS "min", max(v) AS "max", round(sum(v), 2) AS "sum",
+  count(*) - count(v) AS missing, round(avg(v), 8) AS mean, round(var_samp(v), 4) AS var FROM x GROUP BY station, "column" """)
+def numeric_station(spark, sf_dir):
+    return rounded(su.numeric_station(lineitem(spark, sf_dir), NUMBERS), sum=2, var=4, mean=8)
+
+
+QUARTILES_SQL = """round(quantile_cont(v::DOUBLE, 0.25), 6) AS q25, round(quantile_cont(v::DOUBLE, 0.5), 6) AS median,
+  round(quantile_cont(v::DOUBLE, 0.75), 6) AS q75, round(quantile_cont(v::DOUBLE, 0.75) - quantile_cont(v::DOUBLE, 0.25), 6) AS iqr"""
+
+
+@query(f"""WITH {long_sql("l_linestatus")} SELECT station, "column", {QUARTILES_SQL} FROM x GROUP BY station, "column" """)
+def station_quartiles(spark, sf_dir):
+    return rounded(su.quartiles(lineitem(spark, sf_dir), NUMBERS))
+
+
+@query(f"""WITH {long_sql("l_linestatus")} SELECT "column", {QUARTILES_SQL} FROM x GROUP BY "column" """)
+def global_quartiles(spark, sf_dir):
+    return rounded(su.quartiles(lineitem(spark, sf_dir), NUMBERS, per_station=False))
+
+
+def orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    clerk = F.when(F.col("o_orderkey") % 7 == 0, None).otherwise(F.col("o_orderpriority"))
+    return SiteFrame(o.select(F.col("o_orderstatus").alias("station"), clerk.alias("priority"), F.year("o_orderdate").cast("string").alias("year"), F.col("o_totalprice").alias("price")))
+
+
+ORDERS = """SELECT o_orderstatus AS station, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS priority,
+  year(o_orderdate)::VARCHAR AS year, o_totalprice AS price FROM orders"""
+
+
+@query(f"""WITH {long_sql("", columns=("priority", "year"), source=ORDERS)}
+  SELECT "column", count(v) AS "count", count(*) - count(v) AS missing FROM x GROUP BY "column" """)
+def categorical_summary(spark, sf_dir):
+    return su.categorical_summary(orders(spark, sf_dir), ["priority", "year"])
+
+
+@query(f"""WITH {long_sql("", columns=("priority", "year"), source=ORDERS)},
+  g AS (SELECT station, "column", v AS value, count(*) AS n FROM x WHERE v IS NOT NULL GROUP BY ALL),
+  c AS (SELECT *, min(n) OVER (PARTITION BY station, "column") AS least FROM g),
+  m AS (SELECT "column", count(DISTINCT station) FILTER (least < 5) AS n_masked_stations FROM c GROUP BY 1)
+  SELECT "column", value, sum(n)::BIGINT AS n, max(n_masked_stations) AS n_masked_stations FROM c JOIN m USING ("column") WHERE least >= 5 GROUP BY "column", value""")
+def value_counts(spark, sf_dir):
+    return su.value_counts(orders(spark, sf_dir), ["priority", "year"])
+
+
+def parts(spark, sf_dir):
+    return SiteFrame(table(spark, sf_dir, "part").select((F.col("p_size") % 3).cast("string").alias("station"), "p_name", "p_brand", "p_type"))
+
+
+@query("""WITH li AS (SELECT (p_size % 3)::VARCHAR AS station, p_name, p_brand, p_type FROM part),
+  x AS (SELECT station, 'p_name' AS "column", p_name AS value FROM li UNION ALL SELECT station, 'p_brand', p_brand FROM li UNION ALL SELECT station, 'p_type', p_type FROM li),
+  g AS (SELECT station, "column", value, count(*) AS n FROM x WHERE value IS NOT NULL GROUP BY ALL)
+  SELECT * FROM g QUALIFY min(n) OVER (PARTITION BY station, "column") >= 5""")
+def value_counts_masked(spark, sf_dir):
+    return su.value_counts_masked(parts(spark, sf_dir), ["p_name", "p_brand", "p_type"])
+
+
+@query(f"""WITH li AS ({LI.format(station="l_linestatus")}) SELECT station, count(*) FILTER (quantity IS NOT NULL AND extendedprice IS NOT NULL) AS complete_rows FROM li GROUP BY station""")
+def complete_rows(spark, sf_dir):
+    return su.complete_rows(lineitem(spark, sf_dir))
+
+
+@query(f"""WITH li AS ({ORDERS}) SELECT station, 'price' AS "column", round(sum(pow(price - (SELECT avg(price) FROM li), 2)) / 1e6, 4) AS ssd FROM li GROUP BY station""")
+def ssd_about_mean(spark, sf_dir):
+    f = orders(spark, sf_dir)
+    mean = su.numeric_summary(f, ["price"]).first()["mean"]
+    return rounded(su.ssd_about(f, {"price": mean}).withColumn("ssd", F.col("ssd") / 1e6), 4)
+
+
+@query(f"""WITH li AS ({ORDERS}) SELECT 'price' AS "column", round(stddev_samp(price), 6) AS std FROM li""")
+def global_std(spark, sf_dir):
+    return rounded(su.numeric_summary(orders(spark, sf_dir), ["price"]).select("column", "std"))
+
+
+def customers(spark, sf_dir):
+    return SiteFrame(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("station"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")))
+
+
+@query("""WITH g AS (SELECT c_nationkey AS station, count(*) AS n_rows, least(count(c_acctbal), count(c_mktsegment)) AS least_values FROM customer GROUP BY 1)
+  SELECT station, n_rows, least_values, n_rows >= 59 AND least_values >= 59 AS passes FROM g""")
+def guard_min_rows(spark, sf_dir):
+    return mo.guarded_stations(customers(spark, sf_dir), ["balance", "segment"], Policy(min_rows=59))
+
+
+@query("""SELECT c_nationkey AS station, 'balance' AS "column", count(*) AS "count", NULL::DOUBLE AS "min", NULL::DOUBLE AS "max", round(sum(c_acctbal), 2) AS "sum",
+  (count(*) - count(c_acctbal))::BIGINT AS missing, round(avg(c_acctbal), 6) AS mean, round(var_samp(c_acctbal), 2) AS var FROM customer GROUP BY 1""")
+def stat_suppression(spark, sf_dir):
+    return rounded(su.numeric_station(customers(spark, sf_dir), ["balance"], Policy(hidden=frozenset({"min", "max"}))), sum=2, var=2)
+
+
+@query("""SELECT event_type AS station, count(*) AS n, round(avg((json_extract_string(props, '$.k'))::DOUBLE), 6) AS mean FROM events GROUP BY 1""")
+def cast_numeric(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("station"), F.get_json_object("props", "$.k").alias("k"))
+    f = su.cast_numeric(SiteFrame(e), ["k"])
+    return rounded(mo.station_moments(f, ["k"]).select("station", F.col("n_rows").alias("n"), "mean"))
+
+
+# ---------------------------------------------------------------- moments and tests
+
+GROUPED = long_sql("l_returnflag", 'station, status AS "group"')
+
+
+@query(f"""WITH {GROUPED} SELECT station, "group", "column", count(*) AS n_rows, count(v) AS n, round(avg(v), 8) AS mean, round(var_samp(v), 4) AS var,
+  round(sum(v), 2) AS "sum", min(v) AS "min", max(v) AS "max", count(*) - count(v) AS missing FROM x GROUP BY station, "group", "column" """)
+def station_moments(spark, sf_dir):
+    return rounded(mo.station_moments(lineitem(spark, sf_dir, "l_returnflag"), NUMBERS, "status"), var=4, sum=2, mean=8)
+
+
+@query(f"""WITH {GROUPED} SELECT "group", "column", count(v) AS n, round(avg(v), 8) AS mean, round(var_samp(v), 4) AS var FROM x GROUP BY "group", "column" """)
+def combine_moments(spark, sf_dir):
+    return rounded(mo.merge_moments(mo.station_moments(lineitem(spark, sf_dir, "l_returnflag"), NUMBERS, "status"), ["group", "column"]), var=4, mean=8)
+
+
+def t_sql(sides: str, first: str, second: str) -> str:
+    """From sides(side, column, n, mean, var): the pooled test, its p-value by the finite series of whole degrees of freedom."""
+    return f"""s AS ({sides}), b AS (SELECT a."column", a.n AS n_a, a.mean AS mean_a, a.var AS var_a, b.n AS n_b, b.mean AS mean_b, b.var AS var_b, a.n + b.n - 2 AS dof
+    FROM s a JOIN s b ON a."column" = b."column" AND a.side = '{first}' AND b.side = '{second}'),
+  t AS (SELECT *, (mean_a - mean_b) / sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / dof * (1.0::DOUBLE / n_a + 1.0::DOUBLE / n_b)) AS t FROM b),
+  a AS (SELECT *, atan(abs(t) / sqrt(dof)) AS th FROM t),
+  p AS (SELECT *, CASE WHEN dof % 2 = 0
+      THEN 1 - sin(th) * list_sum(list_transform(range(0, (dof // 2)::BIGINT), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi()) + 2 * k * ln(cos(th)))))
+      ELSE 1 - 2 / pi() * (th + sin(th) * cos(th) * coalesce(list_sum(list_transform(range(0, ((dof - 1) // 2)::BIGINT), lambda k: exp(0.5 * ln(pi()) - ln(2) + lgamma(k + 1) - lgamma(k + 1.5) + 2 * k * ln(cos(th))))), 0)) END AS p FROM a)
+  SELECT "column", n_a, round(mean_a, 6) AS mean_a, round(var_a, 4) AS var_a, n_b, round(mean_b, 6) AS mean_b, round(var_b, 4) AS var_b, dof,
+    round(t, 6) AS t_score, round(greatest(p, 0), 6) AS p_value FROM p"""
+
+
+@query(f"""WITH {GROUPED}, {t_sql('SELECT "group" AS side, "column", count(v) AS n, avg(v) AS mean, var_samp(v) AS var FROM x GROUP BY ALL', "F", "O")}""")
+def ttest_grouped(spark, sf_dir):
+    return rounded(tt.ttest(lineitem(spark, sf_dir, "l_returnflag"), NUMBERS, "status"), var_a=4, var_b=4)
+
+
+AS_WRITTEN = """SELECT "group" AS side, "column", sum(n)::BIGINT AS n, sum(n * mean) / sum(n) AS mean,
+  (sum((n - 1) * var) + sum(n * pow(mean - m, 2))) / (sum(n) - 1) AS var
+  FROM (SELECT *, sum(n * mean) OVER w / sum(n) OVER w AS m FROM (
+    SELECT g.station, g."group", g."column", g.n, g.mean, (SELECT sum(pow(x.v - g.mean, 2)) FROM x WHERE x.station = g.station AND x."column" = g."column") / (g.n - 1) AS var
+    FROM (SELECT station, "group", "column", count(v) AS n, avg(v) AS mean FROM x GROUP BY ALL HAVING count(v) > 1) g) WINDOW w AS (PARTITION BY "group", "column"))
+  GROUP BY ALL"""
+
+
+@query(f"""WITH {GROUPED}, {t_sql(AS_WRITTEN, "F", "O")}""")
+def ttest_grouped_as_written(spark, sf_dir):
+    return rounded(tt.ttest(lineitem(spark, sf_dir, "l_returnflag"), NUMBERS, "status", compat="as_written"), var_a=4, var_b=4)
+
+
+@query(f"""WITH {long_sql("l_linestatus")}, {t_sql('SELECT station AS side, "column", count(v) AS n, avg(v) AS mean, var_samp(v) AS var FROM x GROUP BY ALL', "F", "O")}""")
+def ttest_station_vs_station(spark, sf_dir):
+    return rounded(tt.ttest(lineitem(spark, sf_dir), NUMBERS), var_a=4, var_b=4)
+
+
+FEATURES = ("quantity", "extendedprice", "discount")
+ANOVA = f"""li AS (SELECT * FROM ({LI.format(station="l_linestatus")}) WHERE quantity IS NOT NULL),
+  x AS ({" UNION ALL ".join(f"SELECT station, flag, '{c}' AS \"column\", {c} AS v FROM li" for c in FEATURES)})"""
+
+
+@query(f"""WITH {ANOVA} SELECT station, flag AS "group", "column", count(*) AS n, round(avg(v), 8) AS mean, round(var_samp(v), 4) AS var FROM x GROUP BY ALL""")
+def anova_moments(spark, sf_dir):
+    return rounded(av.anova_partials(lineitem(spark, sf_dir), "flag", FEATURES), var=4, mean=8)
+
+
+def anova_sql(groups: str, between: str, k: str = "k - 1") -> str:
+    """groups(column, n, ssw, ssb): sums; three groups have two degrees of freedom, whose tail has a closed form."""
+    return f"""g AS ({groups}), s AS (SELECT {between} AS "column", 3::BIGINT AS k, max(n) AS n, sum(ssb) AS ss_between, sum(ssw) AS ss_within FROM g GROUP BY 1),
+  f AS (SELECT *, ss_between / ({k}) AS ms_between, ss_within / (n - k) AS ms_within FROM s)
+  SELECT "column", k, n, round(ss_between, -3) AS ss_between, round(ss_within, -3) AS ss_within, round(ms_between, 0) AS ms_between, round(ms_within, 0) AS ms_within,
+    round(ms_between / ms_within, 6) AS f_statistic, round(pow((n - k) / ((n - k) + 2 * ms_between / ms_within), (n - k) / 2.0::DOUBLE), 6) AS p_value FROM f"""
+
+
+ANOVA_GROUPS = """SELECT "column", sum(n)::BIGINT AS n, sum(ssw) AS ssw, sum(n * pow(mean - center, 2)) AS ssb FROM (
+  SELECT "column", flag, count(*) AS n, avg(v) AS mean, var_pop(v) * count(*) AS ssw, sum(sum(v)) OVER (PARTITION BY "column") / sum(count(*)) OVER (PARTITION BY "column") AS center
+  FROM x GROUP BY "column", flag) GROUP BY "column" """
+PLACES = {"ss_between": -3, "ss_within": -3, "ms_between": 0, "ms_within": 0}
+
+
+@query(f"""WITH {ANOVA}, {anova_sql(ANOVA_GROUPS, '"column"')}""")
+def anova_per_feature(spark, sf_dir):
+    return rounded(av.anova(lineitem(spark, sf_dir), "flag", FEATURES), **PLACES)
+
+
+@query(f"""WITH {ANOVA}, {anova_sql(ANOVA_GROUPS, "'*'")}""")
+def anova_combined(spark, sf_dir):
+    return rounded(av.anova(lineitem(spark, sf_dir), "flag", FEATURES, combine_features=True), **PLACES)
+
+
+ANOVA_SITES = """SELECT "column", sum(n)::BIGINT AS n, sum(ssw) AS ssw, sum(n * pow(mean - center, 2)) AS ssb FROM (
+  SELECT station, "column", flag, count(*) AS n, avg(v) AS mean, var_pop(v) * count(*) AS ssw,
+    sum(sum(v)) OVER (PARTITION BY station, "column") / sum(count(*)) OVER (PARTITION BY station, "column") AS center
+  FROM x GROUP BY station, "column", flag) GROUP BY "column" """
+
+
+@query(f"""WITH {ANOVA}, {anova_sql(ANOVA_SITES, "'*'", "k")}""")
+def anova_as_written(spark, sf_dir):
+    return rounded(av.anova(lineitem(spark, sf_dir), "flag", FEATURES, compat="as_written"), **PLACES)
+
+
+@query(f"""WITH {ANOVA} SELECT flag AS "group", "column", round(avg(v), 8) AS mean, round(var_samp(v), 4) AS variance FROM x GROUP BY ALL""")
+def anova_group_statistics(spark, sf_dir):
+    return rounded(av.group_statistics(lineitem(spark, sf_dir), "flag", FEATURES), variance=4, mean=8)
+
+
+@query(f"""WITH {ANOVA}, g AS (SELECT station, flag, "column", avg(v) AS mean, var_samp(v) AS var, sum(count(*)) OVER (PARTITION BY station, "column") AS rows FROM x GROUP BY station, flag, "column"),
+  t AS (SELECT "column", count(*) AS total FROM x GROUP BY 1)
+  SELECT flag AS "group", "column", round(sum(mean * rows) / max(total), 6) AS mean, round(sum(var * (rows - 1)), -3) AS variance FROM g JOIN t USING ("column") GROUP BY flag, "column" """)
+def anova_group_statistics_as_written(spark, sf_dir):
+    return rounded(av.group_statistics(lineitem(spark, sf_dir), "flag", FEATURES, compat="as_written"), variance=-3)
+
+
+@query("""WITH d AS (SELECT l.quality, l.toxic, d.lang FROM labels l JOIN documents d USING (doc_id)),
+  x AS (SELECT 'quality' AS "column", quality::VARCHAR AS value FROM d UNION ALL SELECT 'toxic', toxic::VARCHAR FROM d)
+  SELECT DISTINCT "column", value FROM x WHERE value IS NOT NULL""")
+def distinct_categories(spark, sf_dir):
+    return fi.distinct_categories(judged(spark, sf_dir), "quality", "toxic")
+
+
+def judged(spark, sf_dir):
+    """Labels of documents, by language."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("station"))
+    return SiteFrame(table(spark, sf_dir, "labels").join(d, "doc_id").select("station", "quality", "toxic"))
+
+
+@query("""WITH d AS (SELECT d.lang AS station, l.quality, l.toxic FROM labels l JOIN documents d USING (doc_id)),
+  c AS (SELECT s.station, g.quality, o.toxic FROM (SELECT DISTINCT station FROM d) s, (SELECT DISTINCT quality FROM d) g, (SELECT DISTINCT toxic FROM d) o)
+  SELECT c.station, c.quality AS "group", c.toxic AS outcome, count(d.station) AS n FROM c LEFT JOIN d USING (station, quality, toxic) GROUP BY ALL""")
+def contingency_station(spark, sf_dir):
+    return fi.contingency_station(judged(spark, sf_dir), "quality", "toxic")
+
+
+@query("""SELECT l.quality AS "group", l.toxic AS outcome, count(*) AS n FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL""")
+def contingency(spark, sf_dir):
+    return fi.contingency(judged(spark, sf_dir), "quality", "toxic")
+
+
+def fisher_sql(chosen: str) -> str:
+    return f"""WITH d AS (SELECT l.quality AS g, l.toxic AS o FROM labels l JOIN documents d USING (doc_id)),
+  t AS (SELECT count(*) FILTER (g = 0 AND o = 0) AS a, count(*) FILTER (g = 0 AND o = 1) AS b, count(*) FILTER (g = 1 AND o = 0) AS c, count(*) FILTER (g = 1 AND o = 1) AS d FROM d),
+  w AS (SELECT x, a, lgamma(a + c + 1) - lgamma(x + 1) - lgamma(a + c - x + 1) + lgamma(b + d + 1) - lgamma(a + b - x + 1) - lgamma(b + d - (a + b - x) + 1) AS v
+    FROM (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM t)),
+  m AS (SELECT max(v) AS top, max(v) FILTER (x = a) AS seen FROM w)
+  SELECT a, b, c, d, round(a * d / (b * c)::DOUBLE, 6) AS oddsratio,
+    round((SELECT sum(exp(v - top)) FILTER ({chosen}) / sum(exp(v - top)) FROM w, m), 6) AS p_value FROM t"""
+
+
+def _fisher(spark, sf_dir, alternative):
+    r = fi.fisher(judged(spark, sf_dir), "quality", "toxic", alternative=alternative)
+    (a, b), (c, d) = r.contingency_table
+    return rounded(spark.createDataFrame([(a, b, c, d, r.oddsratio, r.p_value)], "a bigint, b bigint, c bigint, d bigint, oddsratio double, p_value double"))
+
+
+@query(fisher_sql("v <= seen + ln(1 + 1e-7)"))
+def fisher_exact(spark, sf_dir):
+    return _fisher(spark, sf_dir, "two-sided")
+
+
+@query(fisher_sql("x <= a"))
+def fisher_less(spark, sf_dir):
+    return _fisher(spark, sf_dir, "less")
+
+
+@query(fisher_sql("x >= a"))
+def fisher_greater(spark, sf_dir):
+    return _fisher(spark, sf_dir, "greater")
+
+
+# ---------------------------------------------------------------- principal components
+
+
+@query(f"""WITH li AS (SELECT * FROM ({LI.format(station="l_returnflag")}) WHERE quantity IS NOT NULL) SELECT station, count(*) AS n, {", ".join(f"round(sum({a}), 2) AS sum_{a}" for a in NUMBERS)}, {", ".join(f"round(sum({a} * {b}), 2) AS {a}_{b}" for i, a in enumerate(NUMBERS) for b in NUMBERS[i:])} FROM li GROUP BY station""")
+def pca_gram(spark, sf_dir):
+    g = pc.gram_station(lineitem(spark, sf_dir, "l_returnflag"), NUMBERS)
+    sums = [F.col("sums")[i].alias(f"sum_{a}") for i, a in enumerate(NUMBERS)]
+    products = [F.col("products")[i][j].alias(f"{a}_{NUMBERS[j]}") for i, a in enumerate(NUMBERS) for j in range(i, len(NUMBERS))]
+    return rounded(g.select("station", "n", *sums, *products), 2)
+
+
+def cov_sql(cell: str) -> str:
+    return f"WITH li AS (SELECT * FROM ({LI.format(station='l_returnflag')}) WHERE quantity IS NOT NULL) " + " UNION ALL ".join(f"SELECT '{a}' AS \"row\", '{b}' AS col, round({cell.format(a=a, b=b)}, 4) + 0 AS value FROM li" for a in NUMBERS for b in NUMBERS)
+
+
+@query(cov_sql("covar_samp({a}, {b})"))
+def pca_covariance(spark, sf_dir):
+    return rounded(pc.covariance(lineitem(spark, sf_dir, "l_returnflag"), NUMBERS), 4)
+
+
+@query(cov_sql("sum({a} * {b}) / (count(*) - 1)"))
+def pca_uncentered(spark, sf_dir):
+    return rounded(pc.covariance(lineitem(spark, sf_dir, "l_returnflag"), NUMBERS, center=False), 4)
+
+
+@query(f"""WITH li AS (SELECT * FROM ({LI.format(station="l_returnflag")}) WHERE quantity IS NOT NULL),
+  m AS (SELECT var_samp(quantity) AS a, var_samp(tax * 100) AS c, covar_samp(quantity, tax * 100) AS b FROM li),
+  e AS (SELECT 1 AS component, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS v, a + c AS total FROM m UNION ALL SELECT 2, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b), a + c FROM m)
+  SELECT component::BIGINT AS component, round(v, 6) AS explained_variance, round(v / total, 6) AS explained_variance_ratio FROM e""")
+def pca_eigen_2d(spark, sf_dir):
+    f = lineitem(spark, sf_dir, "l_returnflag")
+    r = pc.pca(SiteFrame(f.df.withColumn("percent", F.col("tax") * 100)), ["quantity", "percent"])
+    rows = [(i + 1, float(v), float(s)) for i, (v, s) in enumerate(zip(r.explained_variance, r.explained_variance_ratio, strict=True))]
+    return rounded(spark.createDataFrame(rows, "component bigint, explained_variance double, explained_variance_ratio double"))
+
+
+@query()
+def pca_components(spark, sf_dir):
+    """Directions of the 64-dimensional embeddings; a row per dimension and component."""
+    e = table(spark, sf_dir, "embeddings").withColumn("station", F.col("label") % 3)
+    d = e.select(F.max(F.size("embedding"))).first()[0] or 0
+    r = pc.pca_of(pc.gram_of_vectors(e, "station", "embedding", d), [f"x{i}" for i in range(d)], 8)
+    rows = [(r.columns[i], j + 1, float(r.components[i, j])) for i in range(d) for j in range(r.components.shape[1])]
+    return spark.createDataFrame(rows, "feature string, component int, loading double")
+
+
+# ---------------------------------------------------------------- methylation
+
+
+def betas(spark, sf_dir) -> DataFrame:
+    """Embeddings as Beta values: a dimension is a probe, a vector a sample of one of three sites."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    beta = 1 / (1 + F.exp(-F.col("x").cast("double")))
+    return e.select((F.col("vec_id") % 3).cast("string").alias("station"), F.concat(F.lit("cg"), F.col("i")).alias("probe_id"), F.concat(F.lit("S"), F.col("vec_id")).alias("sample_label"), beta.alias("beta"))
+
+
+BETAS = """b AS (SELECT (vec_id % 3)::VARCHAR AS station, 'cg' || (i - 1) AS probe_id, 'S' || vec_id AS sample_label, 1 / (1 + exp(-(embedding[i]::DOUBLE))) AS beta
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+  bm AS (SELECT *, log2(beta / (1 - beta)) AS m_value FROM b)"""
+
+
+def wide_betas(spark, sf_dir) -> DataFrame:
+    """A vector is a probe here, its dimensions are samples."""
+    e = table(spark, sf_dir, "embeddings")
+    d = e.select(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select(F.concat(F.lit("cg"), F.col("vec_id")).alias("probe_id"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"S{i}") for i in range(d)])
+
+
+@query("""SELECT 'cg' || vec_id AS probe_id, 'S' || (i - 1) AS sample_label, round(embedding[i]::DOUBLE, 6) + 0 AS beta FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
+def wide_to_long(spark, sf_dir):
+    return rounded(me.wide_to_long(wide_betas(spark, sf_dir)))
+
+
+@query("""SELECT 'cg' || vec_id AS probe_id, """ + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) + 0 AS S{i}" for i in range(64)) + " FROM embeddings")
+def long_to_wide(spark, sf_dir):
+    w = wide_betas(spark, sf_dir)
+    return rounded(me.long_to_wide(me.wide_to_long(w), samples=w.columns[1:]))
+
+
+@query(f"""WITH {BETAS} SELECT probe_id, sample_label, round(beta, 6) AS beta, round(m_value, 6) + 0 AS m_value FROM bm""")
+def beta_m_join(spark, sf_dir):
+    b = betas(spark, sf_dir).drop("station")
+    return rounded(me.join_beta_m(b, me.with_m_values(b).drop("beta")))
+
+
+@query(f"""WITH {BETAS}, n AS (SELECT station, count(DISTINCT sample_label) AS n FROM bm GROUP BY 1)
+  SELECT station, probe_id, round(avg(beta), 6) AS beta_mean, round(avg(m_value), 6) + 0 AS m_mean, max(n.n) AS n_samples, count(beta) AS n_values FROM bm JOIN n USING (station) GROUP BY ALL""")
+def probe_means_station(spark, sf_dir):
+    return rounded(me.probe_means_station(SiteFrame(me.with_m_values(betas(spark, sf_dir)))))
+
+
+@query(f"""WITH {BETAS}, n AS (SELECT station, count(DISTINCT sample_label) AS n FROM bm GROUP BY 1),
+  s AS (SELECT station, probe_id, avg(beta) AS b, avg(m_value) AS m FROM bm GROUP BY ALL)
+  SELECT probe_id, round(sum(b * n) / sum(n), 6) AS beta_mean_global, round(sum(m * n) / sum(n), 6) + 0 AS m_mean_global, sum(n)::BIGINT AS n_samples_total FROM s JOIN n USING (station) GROUP BY probe_id""")
+def probe_means_global(spark, sf_dir):
+    return rounded(me.probe_means_global(me.probe_means_station(SiteFrame(me.with_m_values(betas(spark, sf_dir))))))
+
+
+@query(f"""WITH {BETAS} SELECT probe_id, sample_label, round(beta, 6) AS beta FROM b WHERE substr(probe_id, 3)::INT % 7 != 0 AND substr(probe_id, 3)::INT % 11 != 1""")
+def probe_masks(spark, sf_dir):
+    b = betas(spark, sf_dir).drop("station")
+    i = F.substring("probe_id", 3, 9).cast("int")
+    notes = b.select("probe_id").distinct().select("probe_id", (i % 7 == 0).alias("quality"), (i % 11 == 1).alias("snp"))
+    return rounded(me.mask_probes(b, notes))
+
+
+@query("""SELECT 'cg' || l_partkey AS probe_id, l_orderkey || '-' || l_linenumber AS sample_label, round(l_extendedprice / (l_extendedprice + l_quantity * 100 + 100), 6) AS beta,
+  round(log2((l_extendedprice / (l_extendedprice + l_quantity * 100 + 100)) / (1 - l_extendedprice / (l_extendedprice + l_quantity * 100 + 100))), 6) + 0 AS m_value FROM lineitem""")
+def intensities_to_betas(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    raw = li.select(F.concat(F.lit("cg"), F.col("l_partkey")).alias("probe_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("sample_label"), F.col("l_extendedprice").alias("meth"), (F.col("l_quantity") * 100).alias("unmeth"))
+    return rounded(me.intensities_to_betas(raw))
+
+
+@query("""WITH b AS (SELECT event_type, value FROM events WHERE user_id % 2 = 0),
+  s AS (SELECT event_id, event_type, value FROM events WHERE user_id % 2 = 1),
+  n AS (SELECT event_type, count(*) AS n FROM b GROUP BY 1),
+  r AS (SELECT event_id, event_type, value, NULL AS own FROM s),
+  u AS (SELECT event_id, event_type, value, 0 AS back FROM s UNION ALL SELECT NULL, event_type, value, 1 FROM b),
+  c AS (SELECT event_id, event_type, value, back, sum(back) OVER (PARTITION BY event_type ORDER BY value DESC RANGE UNBOUNDED PRECEDING) AS above FROM u)
+  SELECT event_id AS probe_id, c.event_type AS sample_label, round(above / n.n, 6) AS p_value FROM c JOIN n USING (event_type) WHERE back = 0""")
+def detection_p_values(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("probe_id"), F.col("event_type").alias("sample_label"), F.lit("Grn").alias("channel"), F.col("value").alias("intensity"), "user_id")
+    p = me.detection_p_values(e.where("user_id % 2 = 1").drop("user_id"), e.where("user_id % 2 = 0").drop("user_id", "probe_id"))
+    return rounded(p.select("probe_id", "sample_label", "p_value"))
+
+
+# ---------------------------------------------------------------- clocks
+
+CLOCKS = (("linear", 30.0, "identity"), ("bent", -0.5, "horvath"), ("sparse", 0.0, "identity"))
+
+
+def coefficient(clock: str, i: int) -> float | None:
+    """Of probe i: every clock takes other probes."""
+    if clock == "linear":
+        return (i % 5 - 2) * 3.0 if i % 2 == 0 else None
+    if clock == "bent":
+        return (i % 7 - 3) * 0.25 if i % 3 == 0 else None
+    return 10.0 if i in (1, 60, 999) else None
+
+
+COEFS = [(c, f"cg{i}", coefficient(c, i)) for c, _, _ in CLOCKS for i in (*range(64), 999) if coefficient(c, i) is not None]
+CLOCK_SQL = f"""{BETAS}, k(clock, intercept, link) AS (VALUES {", ".join(f"('{a}', {b}::DOUBLE, '{c}')" for a, b, c in CLOCKS)}),
+  q(clock, probe_id, coef) AS (VALUES {", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in COEFS)}),
+  z AS (SELECT station, sample_label, clock, sum(coef * beta) AS score, count(*) AS n_probes FROM b JOIN q USING (probe_id) GROUP BY ALL),
+  y AS (SELECT station, sample_label, clock, intercept + score AS x, link, n_probes, (SELECT count(*) FROM q WHERE q.clock = z.clock) - n_probes AS n_missing FROM z JOIN k USING (clock)),
+  ages AS (SELECT station, sample_label, clock, CASE WHEN link = 'identity' THEN x WHEN x < 0 THEN 21 * exp(x) - 1 ELSE 21 * x + 20 END AS age, n_probes, n_missing FROM y),
+  st AS (SELECT station, clock, count(age) AS n, avg(age) AS mean, stddev_pop(age) AS std, min(age) AS lo, max(age) AS hi FROM ages GROUP BY ALL)"""
+
+
+def ages(spark, sf_dir) -> DataFrame:
+    coefs = spark.createDataFrame(COEFS, "clock string, probe_id string, coef double")
+    return ck.clock_ages(SiteFrame(betas(spark, sf_dir)), coefs, spark.createDataFrame(CLOCKS, "clock string, intercept double, link string"))
+
+
+@query(f"WITH {CLOCK_SQL} SELECT station, sample_label, clock, round(age, 6) + 0 AS age, n_probes, n_missing FROM ages")
+def clock_ages(spark, sf_dir):
+    return rounded(ages(spark, sf_dir))
+
+
+@query(f"""WITH {CLOCK_SQL} SELECT station, clock, n, round(mean, 6) + 0 AS mean, round(std, 6) AS std, round(lo, 6) + 0 AS "min", round(hi, 6) + 0 AS "max" FROM st""")
+def clock_station_stats(spark, sf_dir):
+    return rounded(ck.clock_station_stats(ages(spark, sf_dir)))
+
+
+@query(f"""WITH {CLOCK_SQL} SELECT clock, sum(n)::BIGINT AS n, count(*) AS n_organizations, round(sum(mean * n) / sum(n), 6) + 0 AS weighted_mean,
+  round(sqrt(sum((n - 1) * std * std) / (sum(n) - count(*))), 6) AS std_pooled, round(sqrt(sum(n * std * std) / (sum(n) - count(*))), 6) AS std_pooled_unbiased FROM st GROUP BY clock""")
+def clock_global(spark, sf_dir):
+    return rounded(ck.clock_global(ck.clock_station_stats(ages(spark, sf_dir))))
+
+
+@query(f"""WITH {CLOCK_SQL}, t AS (SELECT 'Organization ' || station AS organization, clock, mean FROM st UNION ALL SELECT 'Global (Weighted)', clock, sum(mean * n) / sum(n) FROM st GROUP BY clock)
+  SELECT organization, {", ".join(f"round(max(mean) FILTER (clock = '{c}'), 2) + 0 AS {c}" for c, _, _ in CLOCKS)} FROM t GROUP BY organization""")
+def clock_means_table(spark, sf_dir):
+    return rounded(ck.clock_means_table(ck.clock_station_stats(ages(spark, sf_dir)), [c for c, _, _ in CLOCKS]), 2)
+
+
+# ---------------------------------------------------------------- scalars
+
+
+@query("""SELECT DISTINCT (100000 + p_partkey) || '_R0' || (p_size % 9) || 'C01' AS sample_label FROM part""")
+def idat_labels(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    stem = F.concat(F.lit("/scans/x/"), (100000 + F.col("p_partkey")).cast("string"), F.lit("_R0"), (F.col("p_size") % 9).cast("string"), F.lit("C01"))
+    paths = p.select(F.explode(F.array(*[F.concat(stem, F.lit(end)) for end in ("_Grn.idat", "_Red.idat", "_grn.IDAT")])).alias("path"))
+    return paths.select(sample_label(F.col("path")).alias("sample_label")).distinct()
+
+
+@query("""SELECT p_partkey, round(p_retailprice / (p_size * p_size), 6) AS "BMI" FROM part""")
+def bmi_derivation(spark, sf_dir):
+    return rounded(table(spark, sf_dir, "part").select("p_partkey", body_mass_index(F.col("p_retailprice"), F.col("p_size")).alias("BMI")))
+
+
+@query("""SELECT c_mktsegment AS category, round(avg(c_acctbal), 6) AS mean FROM customer GROUP BY 1""")
+def mean_by_category(spark, sf_dir):
+    return rounded(table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("category")).agg(F.avg("c_acctbal").alias("mean")))
+
+
