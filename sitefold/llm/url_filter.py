@@ -100,7 +100,7 @@ def scores(urls: DataFrame) -> DataFrame:
     known = split.where("llr IS NOT NULL").groupBy("s").agg(F.sum("llr").alias("llr"))
     rest = split.where("llr IS NULL").select("s", "g").join(weights.where(~is_hot).select("g", F.col("llr").alias("x")), "g").groupBy("s").agg(F.sum("x").alias("llr"))
     out = known.unionByName(rest).groupBy("s").agg(F.sum("llr").alias("llr"))
-    return out.select("s", (F.col("llr") / UNIT / (F.char_length("s") + 1)).alias("score"))
+    return out.select("s", F.when(F.col("s") == "", 0.0).otherwise(F.col("llr") / UNIT / (F.char_length("s") + 1)).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -111,9 +111,10 @@ def threshold(scored: DataFrame) -> float:
     if not a or not r:
         return 0.0
     best, above_a, above_r = (0.0, 0.0, 0.0), 0, 0
-    for x in sorted(rows, key=lambda x: -x["bin"]):
+    rows = sorted(rows, key=lambda x: -x["bin"])
+    for x, lower in zip(rows, [*rows[1:], None], strict=True):
         above_a, above_r = above_a + x["a"], above_r + x["r"]
-        at = x["bin"] / 100
+        at = x["bin"] / 100 if lower is None else (x["bin"] + lower["bin"] + 1) / 200  # amid what lies between
         best = max(best, (above_a / a - above_r / r, -abs(at), at))
     return best[2]
 
