@@ -78,6 +78,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, longer by underscores until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket_of(col, folds: int):
     """crc32 of the id as text, modulo folds."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(folds)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, read
+from .common import WORD, cut, read, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -82,10 +82,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """Every row of docs as often as the mix takes it; rows of one doc_id as often as the most taken of them."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("d")).agg(F.max(F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int")).alias("__copies"))
-    taken = copies.where(F.col("__copies") > 0)
-    out = docs.join(taken, docs.doc_id.eqNullSafe(taken.d)).withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*docs.columns)
+    key, n = unused("key", docs.columns), unused("copies", docs.columns)
+    copies = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max(F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int")).alias(n))
+    taken = copies.where(F.col(n) > 0)
+    out = docs.join(taken, docs.doc_id.eqNullSafe(taken[key])).drop(key)
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
