@@ -89,11 +89,11 @@ def host_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     m = cut(measures(docs, host).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))))
     v = host_verdicts(m).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"), "host_ok")
     out = m.join(v, m.host.eqNullSafe(v.h))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "host_rate")
 
 
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules(read(spark, sf_dir, "documents"))
+    return host_rules(read(spark, sf_dir, "documents")).drop("host_rate")
 
 
 ORACLE = {

@@ -32,8 +32,8 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 6
 CHILDREN = 120
-#: Tokens short of full that keep a sequence closed for good.
-SLACK = 8
+#: A sequence this close to full (a part of its capacity) stays closed for good.
+SLACK = 1 / 256
 
 _encoders: dict[str, Encoder] = {}
 
@@ -234,6 +234,7 @@ def pack(items: DataFrame, capacity: int = LENGTH) -> DataFrame:
     done = [items.where(F.col("length") == capacity).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = items.where(F.col("length") < capacity).select("uid", "length")
     n, round_ = rest.count(), 0
+    full = capacity - int(capacity * SLACK)
     while n:
         blocks = -(-n // BLOCK)
         dealt = rest.groupBy(F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("items"))
@@ -251,11 +252,11 @@ def pack(items: DataFrame, capacity: int = LENGTH) -> DataFrame:
             elite = cut(evolve_islands(start.repartition(spread, "block", "island"), capacity, epoch))
         best = elite.groupBy("block").agg(F.min_by(F.col("elite")[0], F.struct("n_bins", -F.col("fill"), "island")).alias("genome"))
         packed = cut(_sequences(dealt.join(best, "block").select("uids", "lengths", "genome"), capacity))
-        left = packed.where(F.col("filled") < capacity - SLACK)
+        left = packed.where(F.col("filled") < full)
         m = left.count() if blocks > 1 else 0
         if m > 0.8 * n:
             m = 0
-        done.append((packed.where(F.col("filled") >= capacity - SLACK) if m else packed).select("uid", "sequence_id", "offset"))
+        done.append((packed.where(F.col("filled") >= full) if m else packed).select("uid", "sequence_id", "offset"))
         rest, n, round_ = left.select("uid", "length"), m, round_ + 1
     out = done[0]
     for d in done[1:]:
