@@ -97,16 +97,19 @@ def _pieces(texts: DataFrame) -> DataFrame:
 
 
 def compare(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members(doc_id, fp, n_bytes, class, keep_id, keep_fp...) whose text equals the kept one's: doc_id, class, same."""
+    """members(doc_id, class, keep_id, fan) -> class, doc_id, same: whether some text of doc_id equals one of keep_id."""
     text = docs.select(F.col("doc_id").alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sides = members.select("class", F.col("doc_id").alias("d"), F.lit(False).alias("kept"), F.pmod(F.xxhash64("doc_id"), F.col("fan")).alias("salt"))
     keeps = members.groupBy("class", "keep_id", "fan").agg(F.lit(1).alias("one")).select("class", F.col("keep_id").alias("d"), F.lit(True).alias("kept"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
-    own = _pieces(sides.join(text, sides.d.eqNullSafe(text.d)).select("class", "salt", sides.d.alias("doc_id"), "text"))
-    kept = _pieces(keeps.join(text, keeps.d.eqNullSafe(text.d)).select("class", "salt", "text")).withColumnRenamed("piece", "kept_piece")
-    both = own.join(kept, ["class", "salt", "no"], "left")
+    # rows that share a doc_id may differ in text: their hash and length tell them apart
+    told = [F.xxhash64("text").alias("tag"), F.char_length("text").alias("chars"), "text"]
+    own = _pieces(sides.join(text, sides.d.eqNullSafe(text.d)).select("class", "salt", sides.d.alias("doc_id"), *told))
+    kept = _pieces(keeps.join(text, keeps.d.eqNullSafe(text.d)).select("class", "salt", *told)).withColumnsRenamed({"piece": "kept_piece", "tag": "kept_tag"})
+    both = own.join(kept, ["class", "salt", "no", "chars"], "left")
     a, b = F.col("piece"), F.col("kept_piece")
     equal = F.coalesce((a == b) | (_normal(a) == _normal(b)), F.lit(False))
-    return both.groupBy("class", "doc_id").agg(F.bool_and(equal).alias("same"))
+    each = both.groupBy("class", "doc_id", "tag", "kept_tag").agg(F.bool_and(equal).alias("same"))
+    return each.groupBy("class", "doc_id").agg(F.bool_or("same").alias("same"))
 
 
 def exact_dedup(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFrame:
@@ -159,7 +162,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     many = docs.join(ids, docs.doc_id.eqNullSafe(ids.r), "left_semi")
     sha = F.sha2(_normal(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256)
     one = many.groupBy("doc_id", sha.alias("sha")).agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
-    one = one.join(stays, one.doc_id.eqNullSafe(stays.d) & (one.sha == stays.text_sha256), "left_semi")
+    one = one.join(stays, one["doc_id"].eqNullSafe(stays["d"]) & (one["sha"] == stays["text_sha256"]), "left_semi")
     return single.unionByName(one.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns]))
 
 
