@@ -6,8 +6,7 @@ Viterbi over the words of a document finds the best labels with a penalty for ev
 language is that of most letters; its score is that language's share of the letters, times how far the words
 so labelled favour it over the runner-up.
 
-Viterbi is skipped where it can't matter: if no stretch of words gains half the penalty or more by leaving
-the document's best language, the constant labelling is optimal.
+Viterbi is skipped where one_language() shows that no switch can pay.
 
 Training takes at most TRAIN_PER_LANG documents of each language (those of smallest hash) of at most
 TRAIN_CHARS characters; TRAIN_LANGS languages at most, the most frequent. Every text is predicted whole.
@@ -29,11 +28,11 @@ from pyspark.sql import functions as F
 from .common import bucket_of, mix, read
 
 FOLDS, HELD_OUT = 4, 2
-TRAIN_PER_LANG = 1500
+TRAIN_PER_LANG = 600
 TRAIN_CHARS = 20_000
 TRAIN_LANGS = 200
 TABLE_BITS = 17
-PENALTY = 4.0
+PENALTY = 6.0
 UNKNOWN = "und"
 #: Characters handled at once.
 SLICE = 1 << 19
@@ -102,7 +101,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     # letters and the place after each word; anything that isn't a letter counts as the word's edge
     c = np.where(is_letter, code, 0).astype(np.uint64)
     before = np.concatenate((np.zeros(1, np.uint64), c[:-1]))
-    before2 = np.concatenate((np.zeros(2, np.uint64), c[:-2]))
+    before2 = np.concatenate((np.zeros(2, np.uint64), c[:-2]))[: len(c)]
     before2[before == 0] = 0
     after_word = np.zeros(len(c), bool)
     after_word[np.minimum(ends, len(c) - 1)] = True
@@ -119,6 +118,8 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Best labels of a sequence: scores (n x languages) summed, minus penalty for every switch."""
     n, k = scores.shape
+    if k <= 8:
+        return np.array(_viterbi_few(scores.tolist(), penalty))
     back = np.zeros((n, k), np.int16)
     best = scores[0].copy()
     stay = np.arange(k)
@@ -135,16 +136,56 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return labels
 
 
+def _viterbi_few(scores: list[list[float]], penalty: float) -> list[int]:
+    """The same on lists, which is faster for a few languages."""
+    best, back = scores[0], []
+    stay = list(range(len(best)))
+    for row in scores[1:]:
+        top = max(best)
+        switch = top - penalty
+        if min(best) >= switch:
+            back.append(stay)
+            best = [b + x for b, x in zip(best, row, strict=True)]
+        else:
+            i = best.index(top)
+            back.append([i if b < switch else j for j, b in enumerate(best)])
+            best = [(switch if b < switch else b) + x for b, x in zip(best, row, strict=True)]
+    labels = [best.index(max(best))]
+    for b in reversed(back):
+        labels.append(b[labels[-1]])
+    return labels[::-1]
+
+
+def one_language(scores: np.ndarray, penalty: float) -> int | None:
+    """The language all words have in the best labelling, if that is seen without Viterbi.
+
+    Let a stretch's gain be what a language has over the best constant one there. A labelling that comes back
+    to that one pays a penalty or more for every other stretch; so does one that never has it, but for one
+    stretch. It can only win if some stretch gains the penalty, or a first and a last one together.
+    """
+    best = int(scores.sum(0).argmax())
+    gain = np.zeros((len(scores) + 1, scores.shape[1]))
+    np.cumsum(scores - scores[:, [best]], axis=0, out=gain[1:])
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() >= penalty:
+        return None
+    others = np.delete(gain, best, axis=1)
+    if others.shape[1] and (np.maximum.accumulate(others.max(1)) + (others[-1] - others).max(1)).max() >= penalty:
+        return None
+    return best
+
+
 def label_words(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per word of texts: its document, letters, language (number) and scores by language."""
     slots, word, doc, size, script = words_of(texts)
     k = len(model.langs)
     n = len(doc)
-    scores = np.zeros((n, k))
+    if not n:
+        return doc, size, np.zeros(0, np.int64), np.zeros((0, k))
+    picked = model.table[slots[:, 0]]
+    picked += model.table[slots[:, 1]]
+    picked += model.table[slots[:, 2]]
+    scores = np.add.reduceat(picked, np.searchsorted(word, np.arange(n)), axis=0).astype(float)
     grams = np.bincount(word, minlength=n)[:, None] * 3
-    picked = model.table[slots].sum(1)
-    for j in range(k):
-        scores[:, j] = np.bincount(word, picked[:, j], minlength=n)
     # the mean keeps long words from outvoting all others; a word of n letters counts as sqrt(n)
     scores *= np.sqrt(size)[:, None] / np.maximum(grams, 1)
     allowed = model.allowed[script]
@@ -156,15 +197,8 @@ def label_words(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
         lo, hi = first[d], first[d + 1]
         if lo == hi:
             continue
-        s = scores[lo:hi]
-        total = s.sum(0)
-        best = int(total.argmax())
-        gain = np.zeros((hi - lo + 1, k))
-        np.cumsum(s - s[:, [best]], axis=0, out=gain[1:])
-        if (gain - np.minimum.accumulate(gain, axis=0)).max() < PENALTY / 2:
-            labels[lo:hi] = best
-        else:
-            labels[lo:hi] = viterbi(s, PENALTY)
+        constant = one_language(scores[lo:hi], PENALTY)
+        labels[lo:hi] = viterbi(scores[lo:hi], PENALTY) if constant is None else constant
     return doc, size, labels, scores
 
 
@@ -255,7 +289,7 @@ def train(docs: DataFrame) -> Model | None:
     if not seen.any():
         return None
     counts, scripts = counts[:, seen], scripts[:, seen]
-    table = np.log((counts + 0.3) / (counts.sum(0) + 0.3 * len(counts)))
+    table = np.log((counts + 0.3) / (counts.sum(0) + 0.3 * len(counts))).astype(np.float32)
     allowed = scripts > 1e-3 * scripts.sum(0)
     return Model(tuple(x for x, s in zip(langs, seen, strict=True) if s), table, allowed)
 
