@@ -128,6 +128,12 @@ def value_counts(frame: SiteFrame, columns: Sequence[str], policy: Policy | None
     return shown.join(masked, "column").select("column", "value", "n", "n_masked_stations")
 
 
+def mean_by_category(frame: SiteFrame, category: str, value: str) -> DataFrame:
+    """category, mean of value over all sites; rows without a category are left out."""
+    frame.require([category, value])
+    return frame.df.where(frame.value(category).isNotNull()).groupBy(frame.value(category).alias("category")).agg(F.avg(frame.number(value)).alias("mean"))
+
+
 def complete_rows(frame: SiteFrame, columns: Sequence[str] | None = None, policy: Policy | None = None) -> DataFrame:
     """station, complete_rows: rows with a value in every column; null if hidden."""
     columns = frame.require(columns) if columns else frame.columns

@@ -530,6 +530,6 @@ def bmi_derivation(spark, sf_dir):
 
 @query("""SELECT c_mktsegment AS category, round(avg(c_acctbal), 6) AS mean FROM customer GROUP BY 1""")
 def mean_by_category(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("category")).agg(F.avg("c_acctbal").alias("mean")))
+    return rounded(su.mean_by_category(customers(spark, sf_dir), "segment", "balance"))
 
 
