@@ -157,7 +157,8 @@ def test_odd_sketches_estimate_similarity():
     assert max(errors) < 0.1 and np.mean(errors) < 0.035
 
 
-def test_components_equal_a_search(spark):
+@pytest.mark.parametrize("small", [-1, cc.SMALL])
+def test_components_equal_a_search(spark, small):
     rnd = random.Random(3)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(4000, 4100)] + [(7, 7)]
     comp = {}
@@ -167,9 +168,9 @@ def test_components_equal_a_search(spark):
             a |= b
             for x in b:
                 comp[x] = a
-    got = {r["node"]: r["component"] for r in cc.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["node"]: r["component"] for r in cc.components(spark.createDataFrame(edges, "u long, v long"), small).collect()}
     assert got == {x: min(s) for x, s in comp.items() if len(s) > 1}
-    assert cc.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert cc.components(spark.createDataFrame([], "u long, v long"), small).count() == 0
 
 
 def test_prose_is_linked_to_its_variant():
