@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import uuid
 
 import numpy as np
@@ -36,19 +35,30 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, most: int = 8 << 20):
-    """Within it, what cut() evaluates exchanges Arrow batches of about `most` bytes with Python workers.
+#: Ids that are broadcast at most, to leave other rows' texts where they are.
+BROADCAST_IDS = 500_000
 
-    Rows of pairs of texts are as long as both; the default of 64 MB takes several times that outside the heap.
+
+def rows_with(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df, without rows whose key is not in ids(key), as long as ids are few enough to be broadcast; else all of df.
+
+    Only a filter before a join on key: it saves shuffling texts that the join drops.
+    """
+    ids = ids.select(F.col(key).alias("id_")).distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return df
+    return df.join(F.broadcast(ids), df[key].eqNullSafe(ids["id_"]), "left_semi")
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on the session exchanges Arrow batches of at most about `most` bytes with Python workers.
+
+    A batch takes several times its size outside the heap, in each task and on both sides; the default is 64 MB.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    now = str(spark.conf.get(key, None) or "").rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
 
 
 def discard(df: DataFrame) -> None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, slices, string_bytes
+from .common import cut, read, rows_with, slices, small_batches, string_bytes
 
 #: Two primes below 2^31: a chunk of 4096 bytes sums below 2^53, so float64 products are exact.
 PRIMES = (2147483647, 2147483629)
@@ -66,6 +66,7 @@ def fingerprint(raw: np.ndarray, powers: np.ndarray, primes: tuple[int, ...] = P
 
 def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFrame:
     """doc_id, fp (long), n_bytes (long), text_sha256 of every row."""
+    small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -99,6 +100,7 @@ def _pieces(texts: DataFrame) -> DataFrame:
 def compare(docs: DataFrame, members: DataFrame) -> DataFrame:
     """members(doc_id, class, keep_id, fan) -> class, doc_id, same: whether some text of doc_id equals one of keep_id."""
     text = docs.select(F.col("doc_id").alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = rows_with(text, members.select(F.col("doc_id").alias("d")).union(members.select("keep_id")), "d")
     sides = members.select("class", F.col("doc_id").alias("d"), F.lit(False).alias("kept"), F.pmod(F.xxhash64("doc_id"), F.col("fan")).alias("salt"))
     keeps = members.groupBy("class", "keep_id", "fan").agg(F.lit(1).alias("one")).select("class", F.col("keep_id").alias("d"), F.lit(True).alias("kept"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"))
     # rows that share a doc_id may differ in text: their hash and length tell them apart
@@ -118,31 +120,22 @@ def exact_dedup(docs: DataFrame, primes: tuple[int, int] = PRIMES) -> DataFrame:
     The document with the largest doc_id of equal texts (A-Z lower-cased, null as empty) stays.
     """
     seen = cut(fingerprints(docs, primes).groupBy("doc_id", "fp", "n_bytes", "text_sha256").agg(F.count("*").alias("n_rows")))
-    todo, settled = seen.withColumn("round", F.lit(0)), None
-    rounds = 0
+    todo, settled = seen, None
     while True:
-        groups = todo.groupBy("fp", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n_docs"))
+        groups = todo.groupBy("fp", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n_docs"), F.sum("n_rows").alias("group_size"))
         joined = todo.join(groups, ["fp", "n_bytes"])
         suspects = joined.where((F.col("n_docs") > 1) & ~F.col("doc_id").eqNullSafe(F.col("keep_id")))
         suspects = suspects.select("doc_id", "keep_id", F.struct("fp", "n_bytes").alias("class"), F.ceil(F.col("n_docs") / FAN).alias("fan"))
-        checked = cut(compare(docs, suspects).where(~F.col("same")).select("doc_id", F.col("class.fp").alias("fp"), F.col("class.n_bytes").alias("n_bytes")))
-        differ = checked.select("doc_id", "fp", "n_bytes", F.lit(True).alias("differs"))
-        clash = not checked.isEmpty()
-        if clash:
-            cond = joined.doc_id.eqNullSafe(differ.doc_id) & (joined.fp == differ.fp) & (joined.n_bytes == differ.n_bytes)
-            kept_now = joined.join(differ, cond, "left_anti")
-            later = cut(todo.join(differ, todo.doc_id.eqNullSafe(differ.doc_id) & (todo.fp == differ.fp) & (todo.n_bytes == differ.n_bytes), "left_semi"))
-        else:
-            kept_now = joined
-        kept_now = kept_now.withColumn("round", F.lit(rounds))
-        settled = kept_now if settled is None else settled.unionByName(kept_now)
-        if not clash:
+        differ = cut(compare(docs, suspects).where(~F.col("same")).select(F.col("doc_id").alias("d"), F.col("class.fp").alias("f"), F.col("class.n_bytes").alias("b")))
+        if differ.isEmpty():
             break
-        todo, rounds = later, rounds + 1
-    if rounds:
-        settled = cut(settled)
-    sizes = settled.groupBy("fp", "n_bytes", "round").agg(F.sum("n_rows").alias("group_size"))
-    out = settled.join(sizes, ["fp", "n_bytes", "round"])
+        # a collision: those that differ from the one that stays are groups of their own, found anew
+        apart = joined["doc_id"].eqNullSafe(differ["d"]) & (joined["fp"] == differ["f"]) & (joined["n_bytes"] == differ["b"])
+        todo = cut(joined.join(differ, apart, "left_semi").select(*seen.columns))
+        gone = todo.groupBy("fp", "n_bytes").agg(F.sum("n_rows").alias("gone"))
+        done = joined.join(differ, apart, "left_anti").join(gone, ["fp", "n_bytes"], "left").withColumn("group_size", F.col("group_size") - F.coalesce("gone", F.lit(0))).drop("gone")
+        settled = cut(done if settled is None else settled.unionByName(done))
+    out = joined if settled is None else settled.unionByName(joined)
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, mix, read
+from .common import bucket_of, mix, read, small_batches
 
 FOLDS, HELD_OUT = 4, 2
 TRAIN_PER_LANG = 600
@@ -296,6 +296,7 @@ def train(docs: DataFrame) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
+    small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^TABLE_BITS * TRAIN_LANGS numbers
 

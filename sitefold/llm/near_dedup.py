@@ -6,10 +6,11 @@
 2. Documents of equal sets form a class; its smallest doc_id stands for it from here on.
 3. In every band bucket each document is a candidate for the bucket's smallest one. Sketches screen the
    candidates; the texts of those that pass are compared on their full shingle sets. Components follow.
-4. A bucket whose documents still belong to several components is searched in blocks: sketches of all its
-   documents of different components are compared, and every pair that passes is compared on full sets,
-   in the first band that the two share. So no pair that shares a band and reaches the screen is lost,
-   and no bucket's pairs are listed.
+4. Buckets whose documents still belong to several components are searched in blocks, by sketches. At first
+   every document is compared with the likeliest one of another component only, as long as most of these
+   turn out to be links; so components join before their pairs are listed. What then passes between different
+   components is compared on full sets, in the first band that the two share. No pair that shares a
+   band and reaches the screen is lost.
 
 Figures: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^4)^28 = 1 - 4e-7; the
 sketch's estimate has a standard error near 0.018 there, and SCREEN lies 4 of them below.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hash_words, mix, read, shingles, slices, small_batches, string_bytes
+from .common import cut, discard, hash_words, mix, read, rows_with, shingles, slices, small_batches, string_bytes, unused
 from .components import components
 
 BINS = 1024
@@ -41,27 +42,36 @@ BLOCK = 1024
 _TOP = np.uint64(54)  # 64 - log2(BINS)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BIN = np.arange(BINS, dtype=np.uint64)
+TRIES = 16
+_kept: dict[str, np.ndarray] = {}
+
+
+def _ranks() -> np.ndarray:
+    """For every bin a random order of all bins."""
+    if "r" not in _kept:
+        _kept["r"] = (mix(_BIN[:, None] * np.uint64(BINS) + _BIN + np.uint64(1 << 40)) >> np.uint64(32)).astype(np.uint32)
+    return _kept["r"]
 
 
 def _fill(samples: np.ndarray) -> np.ndarray:
-    """Empty bins of each row take the sample of a bin chosen by hashing (bin, attempt), the same in every row."""
-    attempt = 0
+    """Empty bins take the sample of the first full bin in an order of their own, the same in every set.
+
+    The order's first TRIES places are drawn one by one, for all sets at once; where those are empty, as in
+    small sets, the full bin of least rank is taken.
+    """
     full = samples != _EMPTY
     out = samples.copy()
     open_ = ~full & full.any(1, keepdims=True)
-    while open_.any():
-        attempt += 1
+    for attempt in range(TRIES):
         donor = (mix(_BIN * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) >> _TOP).astype(np.int64)
         r, c = np.nonzero(open_)
         ok = full[r, donor[c]]
-        out[r[ok], c[ok]] = samples[r[ok], donor[c[ok]]]
-        open_[r[ok], c[ok]] = False
-        if attempt > 40:  # few full bins: walk on to the next full one
-            for i in np.flatnonzero(open_.any(1)):
-                at = np.flatnonzero(full[i])
-                c = np.flatnonzero(open_[i])
-                out[i, c] = samples[i, at[(mix(_BIN[c] + np.uint64(attempt)) % np.uint64(len(at))).astype(np.int64)]]
-            break
+        r, c = r[ok], c[ok]
+        out[r, c] = samples[r, donor[c]]
+        open_[r, c] = False
+    for i in np.flatnonzero(open_.any(1)):
+        at, c = np.flatnonzero(full[i]), np.flatnonzero(open_[i])
+        out[i, c] = samples[i, at[_ranks()[np.ix_(c, at)].argmin(1)]]
     return out
 
 
@@ -110,8 +120,8 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
                 full = np.flatnonzero(sizes)
                 bands = np.zeros((hi - lo, BANDS), np.uint64)
                 sketch = np.zeros((hi - lo, SKETCH_BITS // 64), np.uint64)
-                for at in range(0, len(full), 512):
-                    part = full[at : at + 512]
+                for at in range(0, len(full), 256):
+                    part = full[at : at + 256]
                     bands[part], sketch[part] = signatures([sets[i] for i in part])
                 d1 = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 d2 = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
@@ -132,6 +142,8 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
     """Those of pairs(u, v) whose full shingle sets have 100 * intersection >= percent * union."""
     text = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("u"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
+    text = rows_with(text, pairs.select("u").union(pairs.select("v")), "u")
+
     def run(batches):
         for b in batches:
             left, lo = string_bytes(b.column(2))
@@ -151,46 +163,68 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
     return two.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _search_block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components whose sketches pass, in the first band they share."""
+def _search_block(key, left: pd.DataFrame, right: pd.DataFrame, best: bool) -> pd.DataFrame:
+    """Pairs of different components whose sketches pass, in the first band they share; or of each document the best."""
     out = []
     if len(left) and len(right):
-        band = key[0]
+        band, same_block = key[0], key[2] == key[3]
         a, b = (np.array(x["sketch"].tolist()).view(np.uint64) for x in (left, right))
-        ka, kb = (np.array(x["bands"].tolist()) for x in (left, right))
+        ka, kb = (None if best else np.array(x["bands"].tolist()) for x in (left, right))
         ids, jds = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
         ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
+        least = np.full(len(b), SCREEN_BITS + 1)  # of each right document: bits to its best left one, and which
+        which = np.zeros(len(b), np.int64)
         for i in range(len(a)):
-            j = np.flatnonzero((ca[i] != cb) & (ids[i] < jds) if key[2] == key[3] else (ca[i] != cb))
-            j = j[np.bitwise_count(a[i] ^ b[j]).sum(1) <= SCREEN_BITS]
-            if len(j):
-                j = j[(ka[i] == kb[j]).argmax(1) == band]
-                out += [(max(ids[i], x), min(ids[i], x)) for x in jds[j]]
-    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-
-def search_buckets(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """members(band, value, doc_id, component, bands, sketch) of open buckets -> pairs(u, v) to verify.
-
-    A bucket of n documents is cut into ceil(n / BLOCK) blocks; a task compares two blocks, so that a large
-    bucket spreads over many tasks.
+            j = np.flatnonzero((ca[i] != cb) & (best or not same_block or ids[i] < jds))
+            bits = np.bitwise_count(a[i] ^ b[j]).sum(1)
+            j, bits = j[bits <= SCREEN_BITS], bits[bits <= SCREEN_BITS]
+            if not len(j):
+                continue
+            if best:
+                k = int(bits.argmin())
+                out.append((ids[i], jds[j[k]], int(bits[k])))
+                better = bits < least[j]
+                least[j[better]], which[j[better]] = bits[better], i
+            else:
+                first = (ka[i] == kb[j]).argmax(1) == band
+                out += [(max(ids[i], x), min(ids[i], x), int(n)) for x, n in zip(jds[j[first]], bits[first], strict=True)]
+        if best and not same_block:
+            out += [(jds[j], ids[which[j]], int(least[j])) for j in np.flatnonzero(least <= SCREEN_BITS)]
+    return pd.DataFrame(out, columns=["u", "v", "bits"], dtype="int64")
+
+
+def search_buckets(placed: DataFrame, buckets: DataFrame, best: bool) -> DataFrame | None:
+    """Pairs (u, v) of documents that share a bucket, but no component, and whose sketches pass; None without any.
+
+    placed(doc_id, component, bands, sketch). Buckets of one component are done with, and so is everything a
+    bucket's lead has been compared with. One of n documents is cut into ceil(n / BLOCK) blocks; a task
+    compares two blocks, so that a large bucket spreads over many tasks. With best, each document gives
+    only the pair of its likeliest partner.
     """
-    m = members.join(sizes.select("band", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["band", "value"])
-    m = m.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    spread = placed.select("doc_id", "component", F.posexplode("bands").alias("band", "value")).join(buckets.where("n > 2").select("band", "value", "lead"), ["band", "value"]).where("doc_id != lead")
+    sizes = spread.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+    sizes = cut(sizes.select("band", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    if sizes.isEmpty():
+        return None
+    m = spread.join(sizes, ["band", "value"]).select("band", "value", "blocks", "doc_id")
+    # the bands serve to find the first that two documents share
+    bands = F.lit(None).cast("array<int>") if best else F.transform("bands", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    m = m.join(placed.withColumn("bands", bands), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     columns = ["band", "value", "i", "j", "doc_id", "component", "bands", "sketch"]
     left = m.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select(columns)
     right = m.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).select([F.col(c).alias(c) for c in columns])
     keys = ["band", "value", "i", "j"]
-    return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(_search_block, "u bigint, v bigint")
+    search = lambda key, a, b: _search_block(key, a, b, best)
+    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(search, "u bigint, v bigint, bits bigint")
+    if best:
+        found = found.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("b")).select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v"))
+    found = cut(found.select("u", "v").distinct())
+    return None if found.isEmpty() else found
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links are Jaccard >= percent / 100 of k-word shingles."""
-    with small_batches(docs.sparkSession):
-        return _near_dedup(docs, k, percent)
-
-
-def _near_dedup(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     sig = cut(sketch_documents(docs, k))
     known = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").cast("long").alias("rep"))
@@ -206,18 +240,19 @@ def _near_dedup(docs: DataFrame, k: int, percent: int) -> DataFrame:
     links = cut(verify(docs, cut(near), k, percent))
     found = components(links)
 
-    placed = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = cut(placed)
-    spread = placed.select("doc_id", "component", F.posexplode("bands").alias("band", "value")).join(buckets.where("n > 2"), ["band", "value"])
-    open_ = spread.where("doc_id != lead").groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("band", "value", "n")
-    open_ = cut(open_)
-    if not open_.isEmpty():
-        heavy = spread.where("doc_id != lead").join(open_.select("band", "value"), ["band", "value"]).select("band", "value", "doc_id")
-        full = cut(placed.select("doc_id", "component", "bands", "sketch").join(heavy, "doc_id"))
-        more = cut(search_buckets(full, open_).distinct())
-        if not more.isEmpty():
-            links = cut(links.unionByName(verify(docs, more, k, percent)))
-            found = components(links)
+    best = True
+    while True:
+        placed = cut(reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        more = search_buckets(placed, buckets, best)
+        discard(placed)
+        if more is None:
+            break
+        new = cut(verify(docs, more, k, percent))
+        links = cut(links.unionByName(new))
+        found = components(links)
+        if not best:
+            break
+        best = 2 * new.count() > more.count()
 
     comp = found.withColumnRenamed("node", "rep")
     of = member.join(comp, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
@@ -228,8 +263,9 @@ def _near_dedup(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is its component's smallest; rows without a doc_id stay."""
-    gone = near_dedup(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+    key = unused("gone", docs.columns)
+    gone = near_dedup(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, docs.doc_id == gone[key], "left_anti")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,9 +266,9 @@ def pack(items: DataFrame, capacity: int = LENGTH) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    with small_batches(docs.sparkSession):
-        cuts = cut(pieces(docs, tokenizer, length).withColumn("uid", F.monotonically_increasing_id()))
-        placed = pack(cuts.select("uid", "length"), length)
+    small_batches(docs.sparkSession)
+    cuts = cut(pieces(docs, tokenizer, length).withColumn("uid", F.monotonically_increasing_id()))
+    placed = pack(cuts.select("uid", "length"), length)
     return cuts.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

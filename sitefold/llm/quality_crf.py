@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, bucket_of, hash_words, mix, read, slices, string_bytes
+from .common import _IS_SPACE, bucket_of, hash_words, mix, read, slices, small_batches, string_bytes
 
 TRAIN_PER_CLASS = 1500
 TRAIN_LINES = 500
@@ -208,6 +208,7 @@ def score_texts(model: Model, column: pa.Array) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled documents whose crc32(doc_id) mod FOLDS is not 0."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), FOLDS) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -243,6 +244,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
+    small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -255,6 +257,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that score THRESHOLD or more, with all their columns."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
