@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 from ..errors import BadInput
 from ..frame import SiteFrame, col
 
+# The wording of the table of means.
 GLOBAL = "Global (Weighted)"
+SITE = "Organization "
+TITLE = "EPIGENETIC AGE SUMMARY - ORGANIZATION MEANS"
+NOTHING = "No data available to create summary table"
+RULE = "=" * 80
+
 #: How a linear score becomes an age.
 LINKS = ("identity", "horvath")
 #: The age at which the second link passes from exponential to linear.
@@ -88,7 +94,7 @@ def clock_global(stats: DataFrame) -> DataFrame:
 def clock_means_table(stats: DataFrame, clocks: Sequence[str]) -> DataFrame:
     """organization and a column per clock: means rounded to two places, and the row of weighted means."""
     clocks = list(clocks)
-    sites = stats.groupBy(F.concat(F.lit("Organization "), F.col("station").cast("string")).alias("organization")).pivot("clock", clocks).agg(F.first("mean"))
+    sites = stats.groupBy(F.concat(F.lit(SITE), F.col("station").cast("string")).alias("organization")).pivot("clock", clocks).agg(F.first("mean"))
     everyone = clock_global(stats).groupBy(F.lit(GLOBAL).alias("organization")).pivot("clock", clocks).agg(F.first("weighted_mean"))
     both = sites.unionByName(everyone)
     return both.select("organization", *[F.round(col(c), 2).alias(c) for c in clocks])
@@ -105,10 +111,9 @@ def format_means_table(table: DataFrame) -> str:
     """The table as plain text between rules."""
     rows = table.toPandas()  # a row per site
     if rows.empty:
-        return "No data available to create summary table"
+        return NOTHING
     rows = rows.sort_values("organization", key=lambda s: s.map(lambda x: (x == GLOBAL, x))).set_index("organization")
-    rule = "=" * 80
-    return "\n".join(["", rule, "EPIGENETIC AGE SUMMARY - ORGANIZATION MEANS", rule, rows.to_string(na_rep="NaN"), rule, ""])
+    return "\n".join(["", RULE, TITLE, RULE, rows.to_string(na_rep="NaN"), RULE, ""])
 
 
 def to_dict(stats: DataFrame, ages: DataFrame | None = None) -> dict:

@@ -18,6 +18,7 @@ from ..frame import SiteFrame, col
 from ..functions.scalar import m_value
 
 KEYS = ("probe_id", "sample_label")
+# Names of columns in tables of this kind.
 #: Columns of a wide table that describe probes rather than hold samples.
 ANNOTATIONS = ("type", "channel", "probe_type")
 #: Masks of an annotation table, in the order they are applied.

@@ -6,6 +6,15 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+# The names by which sites set their rules in the environment.
+MIN_ROWS = "SUMMARY_MINIMUM_ROWS"
+PRIVACY_THRESHOLD = "SUMMARY_PRIVACY_THRESHOLD"
+ALLOWED_COLUMNS = "SUMMARY_ALLOWED_COLUMNS"
+DISALLOWED_COLUMNS = "SUMMARY_DISALLOWED_COLUMNS"
+ALLOW = "SUMMARY_ALLOW_"  # and a metric in upper case
+TTEST_MIN_ROWS = "T_TEST_MINIMUM_NUMBER_OF_RECORDS"
+FISHER_MIN_ROWS = "FISHER_MINIMUM_NUMBER_OF_RECORDS"
+
 METRICS = ("min", "max", "count", "sum", "missing", "variance", "counts_unique_values", "num_complete_rows")
 
 
@@ -44,13 +53,13 @@ class Policy:
                 raise ValueError(f"{name} is not a whole number: {env[name]!r}") from e
 
         off = {"false", "0", "no", "n", "f", "off"}
-        hidden = {m for m in METRICS if str(env.get(f"SUMMARY_ALLOW_{m.upper()}", "true")).strip().lower() in off}
+        hidden = {m for m in METRICS if str(env.get(ALLOW + m.upper(), "true")).strip().lower() in off}
         return cls(
-            min_rows=number("SUMMARY_MINIMUM_ROWS", 5),
-            privacy_threshold=number("SUMMARY_PRIVACY_THRESHOLD", 5),
-            allowed_columns=columns("SUMMARY_ALLOWED_COLUMNS"),
-            disallowed_columns=columns("SUMMARY_DISALLOWED_COLUMNS") or (),
+            min_rows=number(MIN_ROWS, 5),
+            privacy_threshold=number(PRIVACY_THRESHOLD, 5),
+            allowed_columns=columns(ALLOWED_COLUMNS),
+            disallowed_columns=columns(DISALLOWED_COLUMNS) or (),
             hidden=frozenset(hidden),
-            ttest_min_rows=number("T_TEST_MINIMUM_NUMBER_OF_RECORDS", 3),
-            fisher_min_rows=number("FISHER_MINIMUM_NUMBER_OF_RECORDS", 3),
+            ttest_min_rows=number(TTEST_MIN_ROWS, 3),
+            fisher_min_rows=number(FISHER_MIN_ROWS, 3),
         )
