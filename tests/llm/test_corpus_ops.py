@@ -90,6 +90,25 @@ def test_edit_distance_alignment():
     assert sd._edit(a, np.array([9, 9], np.uint64)) == 0 and sd._edit(a[:0], a) == 0
 
 
+def test_passages_of_parts_that_occur_before(spark):
+    rnd = random.Random(9)
+    prose = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    docs, want = [], {}
+    for i in range(24):
+        one, two = prose(26 + i % 3), prose(24 + i % 5)
+        parts = [prose(20) + one + prose(20), prose(9) + two + prose(30)]
+        both = [prose(rnd.randrange(40)) + one + two + prose(rnd.randrange(40)) for _ in range(2)]
+        want[10 * i + 3] = one + two
+        docs += [row(10 * i + j, " ".join(t)) for j, t in enumerate(parts + both)]
+    got = {r["doc_id"]: r for r in sd.repeated_passages(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert set(got) == set(want)
+    texts = {d[0]: d[1].split() for d in docs}
+    for doc, passage in want.items():
+        r = got[doc]
+        assert r["first_id"] == doc - 1 and r["n_words"] == len(passage)
+        assert texts[doc][r["start_word"] :][: len(passage)] == passage
+
+
 # ---------------------------------------------------------------- mixing
 
 
