@@ -109,6 +109,23 @@ def test_passages_of_parts_that_occur_before(spark):
         assert texts[doc][r["start_word"] :][: len(passage)] == passage
 
 
+def test_ends_grow_over_inserted_and_deleted_words():
+    rnd = random.Random(4)
+    for trial in range(200):
+        n = rnd.randrange(52, 61)
+        a = [rnd.randrange(1, 2**40) for _ in range(n)]
+        b = list(a)
+        for at in (n - 9, 8):
+            b[at : at + 1] = rnd.choice(([], [rnd.randrange(2**41)], [b[at], rnd.randrange(2**41)]))
+        pad = lambda k: [rnd.randrange(2**42, 2**43) for _ in range(k)]
+        u, v = pad(30) + a + pad(30), pad(17) + b + pad(30)
+        shift = len(b) - len(a)
+        xs = [30 + i for i in (20, 28)]
+        ys = [v.index(u[x]) for x in xs]
+        (got,) = sd.align(np.array(u, np.uint64), np.array(v, np.uint64), xs, ys)
+        assert abs(got[0] - 30) <= 1 and abs(got[1] - 30 - n) <= 1 and abs(got[3] - 17 - n - shift) <= 1, trial
+
+
 # ---------------------------------------------------------------- mixing
 
 
