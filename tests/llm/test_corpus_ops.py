@@ -126,6 +126,22 @@ def test_ends_grow_over_inserted_and_deleted_words():
         assert abs(got[0] - 30) <= 1 and abs(got[1] - 30 - n) <= 1 and abs(got[3] - 17 - n - shift) <= 1, trial
 
 
+def test_every_copy_in_a_later_document_is_found(spark):
+    rnd = random.Random(6)
+    prose = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    passage, late, starts = prose(90), [], []
+    for _ in range(3):
+        copy = list(passage)
+        for at in (22, 45, 68):
+            copy[at] = prose(1)[0]
+        late += prose(70)
+        starts.append(len(late))
+        late += copy
+    docs = [row(1, " ".join(prose(30) + passage + prose(30))), row(2, " ".join(late + prose(20)))]
+    got = sd.repeated_passages(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sorted(r["start_word"] for r in got) == starts and {r["n_words"] for r in got} == {90}
+
+
 # ---------------------------------------------------------------- mixing
 
 
