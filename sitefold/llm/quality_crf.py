@@ -5,7 +5,7 @@ score links adjacent lines. Forward-backward marginals of "good", weighted by li
 are calibrated to the probability that a document's label is 1.
 
 The field is fitted on the driver on a bounded sample: at most TRAIN_PER_CLASS labelled documents of each
-class (those of smallest hash) of at most TRAIN_LINES lines; their labels go to all their lines. The
+class (those of smallest hash) of at most TRAIN_LINES lines, and longer ones only where those are too few; their labels go to all their lines. The
 calibration weighs the classes by their counts over all labels. Scoring reads every whole text.
 
 Cases: null and empty texts, and texts of white space only, score EMPTY_SCORE. Null labels and labels other
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _IS_SPACE, bucket_of, hash_words, mix, read, slices, small_batches, string_bytes
@@ -213,9 +213,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Model(*[np.zeros(1)] * 4, 1.0, 0.0, EMPTY_SCORE if list(counts) == [0] else 1 - EMPTY_SCORE)
+    # documents with something to measure, in order of hash; longer ones only fill up what the others leave
+    text = F.col("text").cast("string")
+    measured = docs.where(text.rlike(r"[^\x20\x09-\x0D]")).groupBy("doc_id").agg(F.max(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"))
+    known = known.distinct().join(measured, "doc_id").withColumn("long", F.col("lines") > TRAIN_LINES)
     chosen = None
     for q in (0, 1):
-        part = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_PER_CLASS)
+        order = ["long", F.xxhash64("doc_id"), "doc_id"]
+        part = known.where(F.col("quality") == q).orderBy(*order).limit(TRAIN_PER_CLASS)
+        so_far = Window.partitionBy("quality").orderBy(*order)
+        part = part.withColumn("no", F.row_number().over(so_far)).withColumn("total", F.sum("lines").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+        part = part.where((F.col("no") == 1) | (F.col("total") <= TRAIN_PER_CLASS * TRAIN_LINES)).select("doc_id", "quality")
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
@@ -225,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             rows = []
             for i in range(len(b)):
                 own, weight, lines = line_features(data, offsets[i : i + 2])
-                if len(own) <= TRAIN_LINES and weight.sum():
+                if weight.sum():
                     rows.append((b.column(0)[i].as_py(), own.astype(np.float32).tobytes(), weight.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["quality", "own", "weight"])
 

@@ -70,6 +70,15 @@ def test_scores_dont_depend_on_ids_or_company(spark):
     assert np.allclose(together, [qc.score_texts(model, pa.array([t]))[0] for t in texts])
 
 
+def test_quality_learns_from_long_documents(spark):
+    good, bad = "The old harbour was quiet that morning, and boats lay still.", "!!! $$$ 777 ### !!! $$$"
+    docs = [row(i, "\n".join([bad] * (qc.TRAIN_LINES + 20) if i % 2 else [good] * 5)) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = spark.createDataFrame(docs, SCHEMA)
+    got = {r["doc_id"]: r["predicted"] for r in qc.score(docs, qc.train(docs, labels)).collect()}
+    assert got == {i: 1 - i % 2 for i in range(60)}
+
+
 def test_quality_on_nasty_rows(spark):
     labels = [(i, i % 2, 0) for i in range(1, 21)] + [(None, 1, 0), (5, None, 0), (6, 7, 0)]
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
