@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -14,13 +16,25 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_FALLBACK_DIR = "/tmp/sitefold-shared"
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK_DIR).rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder if the session runs in one process; on a cluster a folder of the
+    default file system, which must not be a machine's own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return f"{tempfile.gettempdir()}/sitefold-shared"
+    jvm = spark.sparkContext._jvm
+    home = jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration()).getHomeDirectory().toString()
+    if home.startswith("file:"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{home}/.sitefold-shared"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,19 +49,47 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ids that are broadcast at most, to leave other rows' texts where they are.
-BROADCAST_IDS = 500_000
+#: Bits of the bitmap that rows_with broadcasts: 8 MB, however many ids there are.
+FILTER_BITS = 1 << 26
+_BUCKET_BITS = 8 * 4096  # of one of Spark's bitmaps
 
 
 def rows_with(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """df, without rows whose key is not in ids(key), as long as ids are few enough to be broadcast; else all of df.
+    """df without most rows whose key is not in ids(key); only a filter before a join on key.
 
-    Only a filter before a join on key: it saves shuffling texts that the join drops.
+    Ids set bits of a bitmap of fixed size, which is broadcast in blocks; rows whose bit is not set go, so that
+    their texts are not shuffled. The more ids there are the more other rows pass too; none of ids is lost.
     """
-    ids = ids.select(F.col(key).alias("id_")).distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
-        return df
-    return df.join(F.broadcast(ids), df[key].eqNullSafe(ids["id_"]), "left_semi")
+    return _marked(df, ids, key).where("found_bit").drop("found_bit")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df without the rows whose key (null included) is in ids(key).
+
+    Only rows whose bit of the bitmap is set are shuffled to be joined; all others stay where they are.
+    """
+    mark, k = unused("found_bit", df.columns), unused("key", df.columns)
+    marked = _marked(df, ids, key, mark)
+    unsure = marked.where(mark).drop(mark)
+    gone = ids.select(F.col(key).alias(k)).distinct()
+    return marked.where(~F.col(mark)).drop(mark).unionByName(unsure.join(gone, unsure[key].eqNullSafe(gone[k]), "left_anti"))
+
+
+def _marked(df: DataFrame, ids: DataFrame, key: str, mark: str = "found_bit") -> DataFrame:
+    """df and whether the bit of its key is set."""
+
+    def bit(x):
+        return F.pmod(F.xxhash64(x.cast("string")), F.lit(FILTER_BITS))
+
+    block, bits, place = (unused(x, df.columns) for x in ("bit_block", "bit_map", "bit_place"))
+    at = ids.select(bit(F.col(key)).alias("bit"))
+    n, within = (F.col("bit") / _BUCKET_BITS).cast("int"), (F.col("bit") % _BUCKET_BITS).cast("int")
+    maps = at.groupBy(n.alias(block + "_")).agg(F.bitmap_construct_agg(within).alias(bits))
+    own = bit(df[key])
+    near = df.withColumns({block: (own / _BUCKET_BITS).cast("int"), place: (own % _BUCKET_BITS).cast("int")})
+    is_set = F.expr(f"coalesce((shiftright(cast(conv(hex(substring({bits}, cast({place} / 8 AS int) + 1, 1)), 16, 10) AS int), {place} % 8) & 1) = 1, false)")
+    joined = near.join(F.broadcast(maps), F.col(block) == F.col(block + "_"), "left")
+    return joined.select(*[f"`{c}`" for c in df.columns], is_set.alias(mark))
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
@@ -67,6 +109,7 @@ def discard(df: DataFrame) -> None:
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/sitefold-" in name:
             _delete(spark, name)
+            _written[:] = [w for w in _written if not name.endswith(w[1].rsplit("/", 1)[1])]
 
 
 def _delete(spark: SparkSession, path: str) -> None:

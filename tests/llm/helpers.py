@@ -49,7 +49,17 @@ def oracle(sql):
     return [d[0] for d in got.description], got.fetchall()
 
 
-def same_as_sql(df, sql):
-    names, want = oracle(sql)
+def oracle_on(rows, sql):
+    """SQL over these rows as the only table, documents."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (" + SCHEMA.replace("string", "varchar") + ")")
+    if rows:
+        con.executemany(f"INSERT INTO documents VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    got = con.execute(sql)
+    return [d[0] for d in got.description], got.fetchall()
+
+
+def same_as_sql(df, sql, rows=None):
+    names, want = oracle(sql) if rows is None else oracle_on(rows, sql)
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(tuple, df.select(*names).collect()), key=repr) == sorted(want, key=repr)
