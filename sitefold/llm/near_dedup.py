@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, hash_words, mix, read, rows_with, shingles, slices, small_batches, string_bytes, unused
+from .common import cut, discard, hash_words, mix, read, rows_with, shingles, slices, small_batches, string_bytes, without
 from .components import components
 
 BINS = 1024
@@ -227,8 +227,10 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     small_batches(docs.sparkSession)
     sig = cut(sketch_documents(docs, k))
     known = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").cast("long").alias("rep"))
-    member = cut(known.join(classes, ["n_shingles", "d1", "d2"]).select(F.col("doc_id").cast("long").alias("doc_id"), "rep").distinct())
+    # written without classes of one, so that the join of a class of very many can be split
+    classes = cut(known.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").cast("long").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    own = F.col("doc_id").cast("long")
+    member = cut(known.join(classes, ["n_shingles", "d1", "d2"], "left").select(own.alias("doc_id"), F.coalesce("rep", own).alias("rep")).distinct())
     chosen = member.where("doc_id = rep").select("doc_id")
     reps = cut(known.withColumn("doc_id", F.col("doc_id").cast("long")).join(chosen, "doc_id").groupBy("doc_id").agg(F.max(F.struct("d1", "bands", "sketch")).alias("s")).select("doc_id", "s.bands", "s.sketch"))
 
@@ -263,9 +265,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is its component's smallest; rows without a doc_id stay."""
-    key = unused("gone", docs.columns)
-    gone = near_dedup(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, docs.doc_id == gone[key], "left_anti")
+    return without(docs, cut(near_dedup(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct()), "doc_id")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
