@@ -11,7 +11,8 @@ other order by order, then to the URLs' n-grams. The at most HOT n-grams that ea
 occurrences or more (so no more than HOT can exist) are scored by a broadcast before anything is shuffled;
 no other n-gram can load a task.
 
-Cases: a null URL or one without :// has empty host and path; it scores 0. Without ruled URLs of both kinds
+Cases: a null URL or one without :// has empty host and path; it scores 0. A very long URL is cut into characters
+once, and told from others by a 128-bit hash, so that it costs its length. Without ruled URLs of both kinds
 the threshold is 0, and a score of 0 is allowed. URLs that repeat count as often as they occur and get equal
 verdicts; a null page_id is kept; extra columns are ignored; an empty table gives no rows.
 """
@@ -58,8 +59,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def _grams(urls: DataFrame) -> DataFrame:
     """One row per character of every URL, and its end: the character with the ORDER before it."""
     padded = F.concat(F.lit(_START * ORDER), "s", F.lit(_STOP))
-    at = F.sequence(F.lit(1), F.char_length("s") + 1)
-    return urls.withColumn("g", F.explode(F.transform(at, lambda i: F.substring(padded, i, F.lit(ORDER + 1)))))
+
+    def grams(chars: Column) -> Column:  # an array of one, so that the characters are cut out once
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - ORDER - 1), lambda i: F.concat(*[chars[i + j] for j in range(ORDER + 1)]))
+
+    return urls.withColumn("g", F.explode(F.transform(F.array(F.split(padded, "")), grams)[0]))
 
 
 def language_models(top: DataFrame) -> DataFrame:
@@ -87,20 +91,26 @@ def language_models(top: DataFrame) -> DataFrame:
     return level.select("g", F.round((F.log("pa") - F.log("pr")) * UNIT).cast("long").alias("llr"))
 
 
+def url_id(s: Column) -> Column:
+    return F.unhex(F.md5(s.cast("binary")))
+
+
 def scores(urls: DataFrame) -> DataFrame:
-    """urls(s unique, n, label: true, false or null, calibrates) -> s, score: of "accepted" against "rejected" per character."""
-    grams = _grams(urls)
-    counted = [F.sum(F.when((F.col("label") == want) & ~F.col("calibrates"), F.col("n")).otherwise(0)).alias(x) for x, want in (("a", True), ("r", False))]
-    top = cut(grams.groupBy("g").agg(*counted, F.count("*").alias("seen")))
+    """urls(s unique and not empty, n, label: true, false or null, calibrates) -> id (url_id of s), score: of "accepted"
+    against "rejected" per character, of URLs without a label or that calibrate."""
+    urls = urls.withColumn("id", url_id(F.col("s"))).withColumn("size", F.char_length("s") + 1)
+    learns = F.col("label").isNotNull() & ~F.col("calibrates")
+    counted = [F.sum(F.when((F.col("label") == want) & learns, F.col("n")).otherwise(0)).alias(x) for x, want in (("a", True), ("r", False))]
+    top = cut(_grams(urls).groupBy("g").agg(*counted, F.count_if(~learns).alias("seen")))
     total = top.agg(F.sum("seen")).first()[0] or 0
-    weights = cut(language_models(top).join(top.select("g", "seen"), "g"))
+    weights = cut(language_models(top).join(top.select("g", "seen"), "g").where("seen > 0"))
     is_hot = F.col("seen") * HOT >= total
     hot = F.broadcast(weights.where(is_hot).select("g", "llr"))
-    split = grams.select("s", "g").join(hot, "g", "left")
-    known = split.where("llr IS NOT NULL").groupBy("s").agg(F.sum("llr").alias("llr"))
-    rest = split.where("llr IS NULL").select("s", "g").join(weights.where(~is_hot).select("g", F.col("llr").alias("x")), "g").groupBy("s").agg(F.sum("x").alias("llr"))
-    out = known.unionByName(rest).groupBy("s").agg(F.sum("llr").alias("llr"))
-    return out.select("s", F.when(F.col("s") == "", 0.0).otherwise(F.col("llr") / UNIT / (F.char_length("s") + 1)).alias("score"))
+    key = ["id", "size"]
+    split = _grams(urls.where(~learns)).select(*key, "g").join(hot, "g", "left")
+    known = split.where("llr IS NOT NULL").groupBy(*key).agg(F.sum("llr").alias("llr"))
+    rest = split.where("llr IS NULL").select(*key, "g").join(weights.where(~is_hot).select("g", F.col("llr").alias("x")), "g").groupBy(*key).agg(F.sum("x").alias("llr"))
+    return known.unionByName(rest).groupBy(*key).agg(F.sum("llr").alias("llr")).select("id", (F.col("llr") / UNIT / F.col("size")).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -127,11 +137,15 @@ def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
         allowed = F.when(F.col("rule") == rule, F.lit(allow)).otherwise(allowed)
     p = p.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("label", allowed)
     key = F.concat("host", "path")
-    urls = cut(p.groupBy(key.alias("s")).agg(F.count("*").alias("n"), F.max("label").alias("label")).withColumn("calibrates", F.crc32(F.col("s").cast("binary")) % FOLDS == 0))
+    grouped = p.where(key != "").groupBy(key.alias("s")).agg(F.count("*").alias("n"), F.max("label").alias("label"))
+    urls = cut(grouped.withColumn("calibrates", F.crc32(F.col("s").cast("binary")) % FOLDS == 0))
     scored = cut(scores(urls))
-    known = urls.where("calibrates AND label IS NOT NULL").join(scored, "s")
+    known = urls.where("calibrates AND label IS NOT NULL").select(url_id(F.col("s")).alias("id"), "n", "label").join(scored, "id")
     at = threshold(known)
-    out = p.withColumn("s", key).join(scored.select(F.col("s").alias("k"), "score"), F.col("s") == F.col("k"), "left")
+    # rows that no score decides don't meet in one task: their keys are their pages'
+    open_ = F.col("label").isNull() & (key != "")
+    out = p.withColumn("id", F.when(open_, url_id(key)).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).cast("binary")))
+    out = out.join(scored.select("id", "score"), "id", "left").withColumn("score", F.when(open_, F.col("score")))
     verdict = F.coalesce("label", F.coalesce("score", F.lit(0.0)) >= at)
     return out.select("page_id", "host", "path", "rule", F.when(verdict, "allow").otherwise("block").alias("verdict"), F.when(F.col("rule").isNull(), F.coalesce("score", F.lit(0.0))).alias("score"))
 

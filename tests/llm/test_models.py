@@ -3,6 +3,8 @@ import itertools
 import json
 import math
 import random
+import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -276,9 +278,11 @@ def test_scores_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(uf, "HOT", hot)
     rnd = random.Random(4)
     urls = [(f"{rnd.choice('abc')}{rnd.choice(['x.net', 'casino.org', 'é.com'])}/{rnd.choice(['en', 'fr', ''])}{i % 13}{i}", rnd.randrange(1, 4), rnd.choice([True, False, None]), i % 5 == 0) for i in range(80)]
-    got = {r["s"]: r["score"] for r in uf.scores(spark.createDataFrame(urls, "s string, n long, label boolean, calibrates boolean")).collect()}
+    ids = {hashlib.md5(s.encode()).digest(): s for s, *_ in urls}
+    got = {ids[bytes(r["id"])]: r["score"] for r in uf.scores(spark.createDataFrame(urls, "s string, n long, label boolean, calibrates boolean")).collect()}
     want = brute_scores(urls)
-    assert set(got) == set(want) and all(got[s] == pytest.approx(want[s], abs=1e-4) for s in want)
+    assert set(got) == {s for s, _, label, calibrates in urls if label is None or calibrates}
+    assert all(got[s] == pytest.approx(want[s], abs=1e-4) for s in got)
 
 
 def test_models_tell_urls_apart(spark):
@@ -296,6 +300,42 @@ def test_threshold_parts_labels_best(spark):
     assert uf.threshold(df.where("label")) == 0.0 and uf.threshold(df.where("false")) == 0.0
 
 
+def test_verdicts_equal_brute_force(spark):
+    """Rules, models, threshold and verdict of every page, repeated and null URLs among them."""
+    rnd = random.Random(8)
+    hosts = ["example.org", "a.example.org", "b.org", "shop.com", "c.net", "d.net", None]
+    urls = [None if h is None else f"http://{h}/{rnd.choice(['en', 'fr', 'de', 'es'])}/{rnd.randrange(40)}" for h in (rnd.choice(hosts) for _ in range(300))]
+    got = uf.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    judged = [brute_url(u) for u in urls]
+    allowed = dict(uf.RULES)
+    counts = Counter(h + p for h, p, _ in judged if h + p)
+    label = {h + p: allowed.get(rule) for h, p, rule in judged}
+    known = [(s, n, label[s], zlib.crc32(s.encode()) % uf.FOLDS == 0) for s, n in counts.items()]
+    score = brute_scores(known) | {"": 0.0}
+    tried = [(score[s], want, n) for s, n, want, calibrates in known if calibrates and want is not None]
+    best, at = (0.0, 0.0), 0.0  # the middle between neighbouring bins of a hundredth, as near 0 as may be
+    bins = sorted({math.floor(x * 100) for x, _, _ in tried}, reverse=True)
+    total = [sum(n for _, w, n in tried if w == side) for side in (True, False)]
+    for b, lower in zip(bins, [*bins[1:], None], strict=True):
+        above = [sum(n for x, w, n in tried if w == side and math.floor(x * 100) >= b) for side in (True, False)]
+        cut = b / 100 if lower is None else (b + lower + 1) / 200
+        if (above[0] / total[0] - above[1] / total[1], -abs(cut)) > best:
+            best, at = (above[0] / total[0] - above[1] / total[1], -abs(cut)), cut
+    for r in got:
+        h, p, rule = judged[r["page_id"]]
+        want = allowed[rule] if rule else score[h + p] >= at
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (h, p, rule, "allow" if want else "block")
+    assert len(got) == 300 and all(total)
+
+
+def test_very_long_urls_cost_their_length(spark):
+    rows = [(1, "http://a.net/" + "ab/" * 350_000), (2, "http://b.org/x"), (3, "http://b.com/de/y"), (4, None)] + [(10 + i, "http://same.net/") for i in range(50)]
+    start = time.time()
+    got = {r["page_id"]: r for r in uf.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert time.time() - start < 60 and len(got) == 54
+    assert len(got[1]["path"]) == 1_050_001 and got[2]["verdict"] == "allow" and got[3]["verdict"] == "block"
+
+
 def test_prose_scores_as_itself():
     assert qc.score_texts(qc.Model(*[np.zeros(1)] * 4, 1.0, 0.0, 1.0), pa.array([PROSE, ""])).tolist() == [1.0, qc.EMPTY_SCORE]
     assert row(1, PROSE)[1] == PROSE and SCHEMA
