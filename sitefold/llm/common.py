@@ -92,6 +92,18 @@ def _marked(df: DataFrame, ids: DataFrame, key: str, mark: str = "found_bit") ->
     return joined.select(*[f"`{c}`" for c in df.columns], is_set.alias(mark))
 
 
+#: Bytes that few() broadcasts at most.
+FEW_BYTES = 8 << 20
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its rows, texts included, take at most FEW_BYTES; larger ones are joined by shuffle."""
+    size = F.lit(0)
+    for c, kind in df.dtypes:
+        size = size + (F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) + 16 if kind == "string" else F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= FEW_BYTES else df
+
+
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """From now on the session exchanges Arrow batches of at most about `most` bytes with Python workers.
 

@@ -2,11 +2,13 @@
 
 Base rules judge each text: too few words, or too many words inside 8-word windows that the text repeats.
 Failures are counted per host (pre-aggregated before the shuffle); a host's failure rate is shrunk by a beta
-prior whose mean and strength are fitted to all hosts' rates by moments; hosts whose shrunk rate exceeds
-MOST_FAILING are rejected, and the verdicts are joined back to the documents.
+prior fitted to all hosts by moments: its mean is the rate of all documents, and its strength follows from how
+far hosts' rates, weighed by documents, lie apart beyond what chance does within hosts. Hosts whose shrunk rate
+exceeds MOST_FAILING are rejected, and the verdicts are joined back to the documents.
 
 Cases: a null text has no words and fails; a null host is a host. Windows are compared by 64-bit hashes.
-Without hosts, or if all have one rate, the prior has strength MOST_STRENGTH. Repeated rows count each;
+Where rates lie no farther apart than chance has it, or there is one host, the prior has strength
+MOST_STRENGTH. Very long texts cost their length. Repeated rows count each;
 extra columns are ignored; an empty table gives no rows.
 """
 
@@ -76,14 +78,27 @@ def measures(docs: DataFrame, host: str) -> DataFrame:
 def host_verdicts(judged: DataFrame) -> DataFrame:
     """judged(host, base_failed) -> host, n, failed, rate (shrunk), host_ok."""
     hosts = cut(judged.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
-    rate = F.col("failed") / F.col("n")
-    mean, spread = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    mean, spread = mean or 0.0, spread or 0.0
-    strength = MOST_STRENGTH if spread <= 0 else min(max(mean * (1 - mean) / spread - 1, LEAST_STRENGTH), MOST_STRENGTH)
+    n, f = F.col("n").cast("double"), F.col("failed").cast("double")
+    found = hosts.agg(F.count("*"), F.sum("n"), F.sum("failed"), F.sum(n * n), F.sum(f * f / n)).first()
+    mean, strength = prior(*(x or 0 for x in found))
     shrunk = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
     return hosts.withColumn("rate", shrunk).withColumn("host_ok", F.col("rate") <= MOST_FAILING)
 
 
+def prior(hosts: int, n: int, failed: int, squares: float, spread: float) -> tuple[float, float]:
+    """Mean and strength from the sums, over hosts, of documents, failures, documents squared, and failures squared by documents.
+
+    Of hosts of n documents, rates of variance mean * (1 - mean) * (1 / n + r * (1 - 1 / n)) are expected, r being
+    1 / (strength + 1); r is what makes the expected sum of n * (rate - mean)^2 equal the one that is seen.
+    """
+    mean = failed / n if n else 0.0
+    room = n - squares / n - (hosts - 1) if n else 0.0
+    if not 0 < mean < 1 or room <= 0:
+        return mean, MOST_STRENGTH
+    r = ((spread - n * mean * mean) / (mean * (1 - mean)) - (hosts - 1)) / room
+    return mean, MOST_STRENGTH if r <= 0 else min(max(1 / r - 1, LEAST_STRENGTH), MOST_STRENGTH)
+
+
 def host_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, the base measures, base_failed, host_rate and kept of every row."""
     m = cut(measures(docs, host).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))))
@@ -115,9 +130,13 @@ WITH d AS (
   FROM d LEFT JOIN r USING (doc_id)
 ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
 ), h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM b GROUP BY source
+), t AS (
+  SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(failed)::DOUBLE AS f, sum(n::DOUBLE * n) AS squares, sum(failed::DOUBLE * failed / n) AS spread FROM h
+), q AS (
+  SELECT *, f / n AS mean, n - squares / n - (k - 1) AS room FROM t
 ), p AS (
-  SELECT avg(failed / n) AS mean, CASE WHEN var_pop(failed / n) <= 0 THEN 1e6
-    ELSE least(greatest(avg(failed / n) * (1 - avg(failed / n)) / var_pop(failed / n) - 1, 1), 1e6) END AS s FROM h
+  SELECT mean, CASE WHEN mean <= 0 OR mean >= 1 OR room <= 0 OR r <= 0 THEN 1e6 ELSE least(greatest(1 / r - 1, 1), 1e6) END AS s
+  FROM (SELECT *, CASE WHEN mean > 0 AND mean < 1 AND room > 0 THEN ((spread - n * mean * mean) / (mean * (1 - mean)) - (k - 1)) / room END AS r FROM q)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (h.failed + mean * s) / (h.n + s) <= 0.5 AS kept
