@@ -63,7 +63,8 @@ def targets(per_source: DataFrame, weights: tuple = WEIGHTS, share: float = SHAR
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    # the weights left, by subtraction: a frame that ends with the last row costs the square of the rows
+    after = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     s = s.withColumn("level", (share * F.sum("source_size").over(everything).cast("double") - before) / after)
     fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct(F.row_number().over(order).alias("i"), F.col("level").alias("level")))
     s = s.withColumn("chosen", F.min(fits).over(everything))
