@@ -8,12 +8,16 @@ so labelled favour it over the runner-up.
 
 Viterbi is skipped where one_language() shows that no switch can pay.
 
-Training takes at most TRAIN_PER_LANG documents of each language (those of smallest hash) of at most
-TRAIN_CHARS characters; TRAIN_LANGS languages at most, the most frequent. Every text is predicted whole.
+Training counts the n-grams of whole texts: of about TRAIN_PER_LANG documents with a letter of each language
+(those of smallest hash, to the bin of hashes that reaches that number), so that no language is left out, however
+many there are and however long its texts. The model has MODEL_CELLS numbers at most: 2^TABLE_BITS slots for
+n-grams a language, half as many each time that the languages would exceed it. Every text is predicted whole;
+n-grams of a very long one are looked up piece by piece.
 
 Cases: a null text, an empty one or one without a letter is `und` with score 0, as is everything if nothing
-could be learned. A null lang is not learned from. Repeated rows get equal predictions; a null doc_id is
-neither held out nor learned from; extra columns are ignored; an empty table gives no rows.
+could be learned; combining marks belong to the word they follow and are no letters. A null lang is not learned
+from. Repeated rows get equal predictions; a null doc_id is neither held out nor learned from; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +34,10 @@ from .common import bucket_of, mix, read, small_batches
 
 FOLDS, HELD_OUT = 4, 2
 TRAIN_PER_LANG = 600
-TRAIN_CHARS = 20_000
-TRAIN_LANGS = 200
+#: Bins of a document's chance, for each halving of it.
+CHANCE_BINS = 16
 TABLE_BITS = 17
+MODEL_CELLS = 1 << 25
 PENALTY = 6.0
 UNKNOWN = "und"
 #: Characters handled at once.
@@ -62,21 +68,25 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _letters() -> np.ndarray:
-    """Script + 1 of every code point that is a letter or a mark, else 0."""
+    """Script + 1 of every code point that is a letter, MARK of a combining mark, else 0."""
     if "t" not in _tables:
         import unicodedata
 
         t = np.zeros(0x110000, np.uint8)
         for c in range(0x110000):
-            if unicodedata.category(chr(c))[0] in "LM":
-                t[c] = 1
+            kind = unicodedata.category(chr(c))[0]
+            if kind in "LM":
+                t[c] = 1 if kind == "L" else MARK
         for first, last, script in SCRIPT_RANGES:
             part = t[first : last + 1]
-            part[part > 0] = script + 1
+            part[part == 1] = script + 1
         _tables["t"] = t
     return _tables["t"]
 
 
+MARK = 255
+
+
 @dataclass(frozen=True)
 class Model:
     """langs; log-probabilities by hashed n-gram (rows) and language; allowed[script, language]."""
@@ -91,10 +101,16 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     low = [t.lower() for t in texts]
     code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = _letters()[np.minimum(code, 0x10FFFF)]
-    is_letter = kind > 0
+    is_mark = kind == MARK
+    # a mark belongs to a word if what it follows, marks aside, is a letter
+    last = np.maximum.accumulate(np.where(is_mark, 0, np.arange(len(kind)))) if is_mark.any() else None
+    is_letter = kind > 0 if last is None else (kind[last] > 0) & (kind[last] != MARK)
     starts = np.flatnonzero(is_letter & ~np.concatenate(([False], is_letter[:-1])))
     ends = np.flatnonzero(is_letter & ~np.concatenate((is_letter[1:], [False]))) + 1
     size = ends - starts
+    if last is not None:
+        marks = np.concatenate(([0], np.cumsum(is_mark)))
+        size = size - (marks[ends] - marks[starts])
     doc_ends = np.cumsum([len(t) + 1 for t in low])
     doc = np.searchsorted(doc_ends, starts, "right")
     script = kind[starts].astype(np.int64) - 1
@@ -174,13 +190,26 @@ def one_language(scores: np.ndarray, penalty: float) -> int | None:
     return best
 
 
-def label_words(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word of texts: its document, letters, language (number) and scores by language."""
+def pieces(text: str, size: int = 0) -> list[str]:
+    """text, cut between words into pieces of about size characters (SLICE, unless given)."""
+    size = size or SLICE
+    out, lo = [], 0
+    while len(text) - lo > size:
+        hi = lo + size
+        while hi < len(text) and (text[hi].isalpha() or _letters()[ord(text[hi])]):
+            hi += 1
+        out.append(text[lo:hi])
+        lo = hi
+    return [*out, text[lo:]]
+
+
+def word_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of texts: its text, letters, and scores by language."""
     slots, word, doc, size, script = words_of(texts)
-    k = len(model.langs)
     n = len(doc)
     if not n:
-        return doc, size, np.zeros(0, np.int64), np.zeros((0, k))
+        return doc, size, np.zeros((0, len(model.langs)))
+    slots >>= TABLE_BITS - (len(model.table).bit_length() - 1)
     picked = model.table[slots[:, 0]]
     picked += model.table[slots[:, 1]]
     picked += model.table[slots[:, 2]]
@@ -190,8 +219,26 @@ def label_words(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     scores *= np.sqrt(size)[:, None] / np.maximum(grams, 1)
     allowed = model.allowed[script]
     allowed[~allowed.any(1)] = True
-    scores = np.where(allowed, scores, scores.min(initial=0) - 10)
-    labels = np.zeros(n, np.int64)
+    return doc, size, np.where(allowed, scores, scores.min(axis=1, keepdims=True) - 10)
+
+
+def label_words(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of texts: its document, letters, language (number) and scores by language."""
+    parts, held, chars, owners = [], [], 0, []
+    for d, text in enumerate(texts):
+        for piece in pieces(text):
+            if held and chars + len(piece) > SLICE:
+                parts.append((owners, word_scores(model, held)))
+                held, chars, owners = [], 0, []
+            held.append(piece)
+            owners.append(d)
+            chars += len(piece)
+    if held:
+        parts.append((owners, word_scores(model, held)))
+    doc = np.concatenate([np.array(o, np.int64)[x[0]] for o, x in parts]) if parts else np.zeros(0, np.int64)
+    size = np.concatenate([x[1] for _, x in parts]) if parts else np.zeros(0, np.int64)
+    scores = np.concatenate([x[2] for _, x in parts]) if parts else np.zeros((0, len(model.langs)))
+    labels = np.zeros(len(doc), np.int64)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     for d in range(len(texts)):
         lo, hi = first[d], first[d + 1]
@@ -245,60 +292,70 @@ def predict_texts(model: Model | None, texts: list[str | None]) -> tuple[list[st
 
 def train(docs: DataFrame) -> Model | None:
     """Fit on documents whose crc32(doc_id) mod FOLDS is not HELD_OUT; None if none has a language and a letter."""
+    spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    d = d.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (bucket_of(F.col("doc_id"), FOLDS) != HELD_OUT))
-    ids = d.select("doc_id", "lang", (F.char_length("text") <= TRAIN_CHARS).alias("short"))
-    langs = sorted(r["lang"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGS).collect())
-    if not langs:
+    d = d.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.rlike("text", F.lit(r"\p{L}")) & (bucket_of(F.col("doc_id"), FOLDS) != HELD_OUT))
+    chance = (F.xxhash64("doc_id", F.lit("lid")).bitwiseAND(F.lit((1 << 53) - 1)) + 1).cast("double") / float(1 << 53)
+    d = d.withColumn("bin", F.floor(-CHANCE_BINS * F.log2(chance)).cast("int"))
+    # a row per language and bin comes back: the bins of least chance that hold TRAIN_PER_LANG documents are taken
+    seen: dict[str, list[tuple[int, int]]] = {}
+    for r in d.groupBy("lang", "bin").agg(F.count("*").alias("n")).toLocalIterator():
+        seen.setdefault(r["lang"], []).append((r["bin"], r["n"]))
+    if not seen:
         return None
-    # the hash below which a language has about TRAIN_PER_LANG short documents; then those exactly
-    share = ids.where("short").where(F.col("lang").isin(langs)).groupBy("lang").agg(F.count("*").alias("n")).collect()
-    cuts = {r["lang"]: min(1.0, 2.0 * TRAIN_PER_LANG / r["n"]) for r in share}
-    chance = (F.xxhash64("doc_id", F.lit("lid")).bitwiseAND(F.lit((1 << 53) - 1))).cast("double") / float(1 << 53)
-    likely = F.lit(False)
-    for lang, x in cuts.items():
-        likely = likely | ((F.col("lang") == lang) & (chance < x))
-    sample = d.where((F.char_length("text") <= TRAIN_CHARS) & likely)
+    least = []
+    for lang, found in seen.items():
+        n = 0
+        for bin_, more in sorted(found, reverse=True):
+            n += more
+            if n >= TRAIN_PER_LANG:
+                break
+        least.append((lang, bin_))
+    langs = sorted(seen)
+    bits = TABLE_BITS
+    while bits > 1 and len(langs) << bits > MODEL_CELLS:
+        bits -= 1
+    cells = 1 << bits
+    cuts = spark.createDataFrame(least, "lang string, least int")  # a row per language, as the model has
+    sample = d.join(F.broadcast(cuts), "lang").where("bin >= least").select("lang", "text")
 
     def run(batches):
         for b in batches:
-            slots, langs_, keys = [], [], []
-            for key, text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                s, _, _, size, script = words_of([text])
-                if len(size):
-                    used, n = np.unique(s.ravel(), return_counts=True)
-                    slots.append(np.stack((used, n)).astype(np.int32).tobytes() + np.bincount(script, minlength=N_SCRIPTS).astype(np.int32).tobytes())
-                    langs_.append(lang)
-                    keys.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.float64()), pa.array(langs_, pa.string()), pa.array(slots, pa.binary())], ["key", "lang", "grams"])
-
-    got = sample.select(chance.alias("key"), "text", "lang").mapInArrow(run, "key double, lang string, grams binary")
-    # each language's counts are summed on the driver document by document: at most TRAIN_LANGS tables
-    counts = np.zeros((1 << TABLE_BITS, len(langs)))
-    scripts = np.zeros((N_SCRIPTS, len(langs)))
-    taken = dict.fromkeys(langs, 0)
-    for r in sorted(got.collect(), key=lambda r: (r["key"], r["grams"])):
-        j = langs.index(r["lang"])
-        if taken[r["lang"]] < TRAIN_PER_LANG:
-            taken[r["lang"]] += 1
-            x = np.frombuffer(r["grams"], np.int32)
-            scripts[:, j] += x[-N_SCRIPTS:]
-            grams = x[:-N_SCRIPTS].reshape(2, -1)
-            counts[grams[0], j] += grams[1]
-    seen = counts.sum(0) > 0
-    if not seen.any():
+            counts: dict[str, np.ndarray] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for piece in pieces(text):
+                    slots, _, _, size, script = words_of([piece])
+                    if len(size):
+                        x = counts.setdefault(lang, np.zeros(cells + N_SCRIPTS, np.int64))
+                        x[:cells] += np.bincount(slots.ravel() >> (TABLE_BITS - bits), minlength=cells)
+                        x[cells:] += np.bincount(script, minlength=N_SCRIPTS)
+            for lang, x in counts.items():
+                at = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(x[at])], ["lang", "slot", "n"])
+
+    def dense(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros(cells + N_SCRIPTS)
+        x[rows["slot"]] = rows["n"]
+        return pd.DataFrame({"lang": [key[0]], "counts": [x.astype(np.float32).tobytes()]})
+
+    got = sample.mapInArrow(run, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    got = got.groupBy("lang").applyInPandas(dense, "lang string, counts binary")
+    table = {r["lang"]: np.frombuffer(r["counts"], np.float32) for r in got.toLocalIterator()}  # MODEL_CELLS numbers in all
+    langs = [x for x in langs if x in table]
+    if not langs:
         return None
-    counts, scripts = counts[:, seen], scripts[:, seen]
-    table = np.log((counts + 0.3) / (counts.sum(0) + 0.3 * len(counts))).astype(np.float32)
+    counts = np.stack([table[x] for x in langs], axis=1).astype(float)
+    scripts, counts = counts[cells:], counts[:cells]
     allowed = scripts > 1e-3 * scripts.sum(0)
-    return Model(tuple(x for x, s in zip(langs, seen, strict=True) if s), table, allowed)
+    return Model(tuple(langs), np.log((counts + 0.3) / (counts.sum(0) + 0.3 * cells)).astype(np.float32), allowed)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^TABLE_BITS * TRAIN_LANGS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_CELLS numbers
 
     def run(batches):
         for b in batches:

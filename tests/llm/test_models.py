@@ -4,6 +4,7 @@ import json
 import math
 import random
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,6 +17,7 @@ from sitefold.llm import chat_format as cf
 from sitefold.llm import language_id as li
 from sitefold.llm import quality_crf as qc
 from sitefold.llm import url_filter as uf
+from sitefold.llm.common import mix
 
 TABLES = DATA.replace("0.001", "0.1")
 
@@ -204,6 +206,99 @@ def test_predictions_dont_depend_on_company(model):
         assert one[0] == [a] and one[1][0] == pytest.approx(b)
 
 
+def test_marks_alone_are_no_letters(spark, model):
+    assert li.predict_texts(model, ["\u0301", " \u0301\u0302 12 \u20dd"])[0] == ["und", "und"]
+    docs, size, *_ = li.label_words(model, ["e\u0301te\u0301 \u0301x"])
+    assert size.tolist() == [3, 1]
+
+
+def brute_words(text):
+    """(letters, slots of its n-grams, script) of every word."""
+    out, word, text = [], "", text.lower()
+    for c in text + " ":
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or kind == "M" and word:
+            word += c
+        elif word:
+            code = [0, 0, *map(ord, word), 0]
+            slots = []
+            for i in range(2, len(code)):
+                a, b, c_ = code[i - 2] if code[i - 1] else 0, code[i - 1], code[i]
+                for n, x in enumerate((c_, c_ | b << 21, c_ | b << 21 | a << 42)):
+                    slots.append(int(mix(np.array([x], np.uint64) ^ li._ORDER_SALT[n])[0]) >> (64 - li.TABLE_BITS))
+            script = next((s for lo, hi, s in li.SCRIPT_RANGES if lo <= ord(word[0]) <= hi), 0)
+            out.append((sum(unicodedata.category(x)[0] == "L" for x in word), slots, script))
+            word = ""
+    return out
+
+
+def brute_languages(rows):
+    held = lambda i: zlib.crc32(str(i).encode()) % li.FOLDS == li.HELD_OUT
+    counts, scripts = defaultdict(Counter), defaultdict(Counter)
+    for i, text, lang in rows:
+        if lang is not None and not held(i):
+            for _, slots, script in brute_words(text or ""):
+                counts[lang].update(slots)
+                scripts[lang][script] += 1
+    langs = sorted(counts)
+    log = lambda lang, x: math.log((counts[lang][x] + 0.3) / (sum(counts[lang].values()) + 0.3 * (1 << li.TABLE_BITS)))
+    out = {}
+    for i, text, _ in rows:
+        words = brute_words(text or "")
+        if not words:
+            out[i] = ("und", 0.0)
+            continue
+        table = []
+        for n, slots, script in words:
+            s = {x: math.sqrt(n) / len(slots) * sum(log(x, y) for y in slots) for x in langs}
+            fits = [x for x in langs if scripts[x][script] > 1e-3 * sum(scripts[x].values())]
+            table.append(s if not fits else {x: v if x in fits else min(s.values()) - 10 for x, v in s.items()})
+        best = [{x: (v, [x]) for x, v in table[0].items()}]
+        for s in table[1:]:
+            best.append({x: max(((b[0] - li.PENALTY * (y != x) + s[x], [*b[1], x]) for y, b in best[-1].items()), key=lambda t: t[0]) for x in langs})
+        labels = max(best[-1].values(), key=lambda t: t[0])[1]
+        letters = Counter()
+        for (n, _, _), x in zip(words, labels, strict=True):
+            letters[x] += n
+        lang = max(langs, key=lambda x: letters[x])
+        gain = max(sum(s[y] - s[lang] for s, x in zip(table, labels, strict=True) if x == lang) for y in langs if y != lang)
+        out[i] = (lang, letters[lang] / sum(letters.values()) / (1 + math.exp(min(max(gain, -30), 30))))
+    return out
+
+
+def test_predictions_equal_brute_force(spark):
+    """From the table to the verdict: sample, counts, scripts, word scores, Viterbi and vote."""
+    got = spark.read.parquet(f"{DATA}/documents.parquet").where("n_chars < 400").select("doc_id", "text", "lang").collect()[:60]
+    rows = [tuple(r) for r in got] + [(10_000 + i, f"{a[1][:90]} {b[1][:120]}", None) for i, (a, b) in enumerate(zip(got, got[7:], strict=False))]
+    rows += [(20_000 + i, t, "ru") for i, t in enumerate(["привет всем друзья", "мир и труд", "hello мир", "e\u0301te\u0301", None, "\u0301", "12"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = brute_languages(rows)
+    for r in li.predict(docs, li.train(docs)).collect():
+        assert (r["lang_pred"], r["score"]) == (want[r["doc_id"]][0], pytest.approx(want[r["doc_id"]][1], abs=1e-3))
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    """Languages of long texts only, and more of them than the model has room for at full size."""
+    monkeypatch.setattr(li, "MODEL_CELLS", 1 << 20)
+    rnd = random.Random(9)
+    texts = {f"l{i:02d}": ["".join(rnd.choice("bcdfghjklmnp") + rnd.choice("aeiou") for _ in range(4)) for _ in range(40)] for i in range(20)}
+    rows = [(100 * j + i, " ".join(rnd.choice(words) for _ in range(6000 if i < 6 else 30)), lang if i < 6 else None) for j, (lang, words) in enumerate(texts.items()) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.train(docs)
+    assert len(model.langs) == 20 and model.table.size <= 1 << 20
+    got = {r["doc_id"]: r["lang_pred"] for r in li.predict(docs, model).collect()}
+    assert all(got[i] == f"l{i // 100:02d}" for i, _, _ in rows)
+
+
+def test_pieces_of_a_long_text_change_nothing(model, monkeypatch):
+    text = (PROSE + " e\u0301tude ") * 30
+    whole = li.predict_texts(model, [text, "une autre phrase"])
+    monkeypatch.setattr(li, "SLICE", 50)
+    assert "".join(li.pieces(text, 50)) == text
+    parts = li.predict_texts(model, [text, "une autre phrase"])
+    assert parts[0] == whole[0] and parts[1] == pytest.approx(whole[1])
+
+
 def test_language_on_nasty_rows(spark):
     got = li.predict(nasty(spark), li.train(nasty(spark))).collect()
     assert len(got) == len(nasty_rows())
