@@ -1,10 +1,10 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-A record's layout is known by the hash of its nested field paths. MAPPINGS declares, for each layout, where
-roles and texts lie; the fingerprint picks the mapping, and records become canonical turns
-(conv_id, pos, role, text). A table with one message a row has one layout, hashed from its schema; JSON
-records of mixed layouts are hashed row by row from schema_of_variant. Records of unknown layout keep one row
-with a null pos, so that nothing is lost unseen.
+A record's layout is known by the hash of its nested field paths, of those that some mapping uses: others, such
+as an id or the name of a speaker, don't change it. MAPPINGS declares, for each layout, where roles and texts
+lie; the fingerprint picks the mapping, and records become canonical turns (conv_id, pos, role, text). A table
+with one message a row has one layout, hashed from its schema; JSON records of mixed layouts are hashed row by
+row. Records of a layout that no mapping has come back apart, whole, from unknown_records().
 
 The template is <turn ROLE>TEXT</turn> and a newline, per turn. In roles and texts a backslash, < and >
 become \\\\, \\l and \\g; so markers can't occur inside, and reading back is exact. The loss mask holds the
@@ -12,7 +12,8 @@ spans of assistants' texts.
 
 Cases: null roles and texts are empty. Turns of one conversation are ordered by (turn, role, text), nulls
 first; repeated rows are turns of their own. A null conv_id is a conversation. Extra columns are ignored. An
-empty table gives no conversations. A conversation becomes one string, so it must fit into a row.
+empty table gives no conversations. A conversation becomes one string, so it must fit into a row; very long texts
+cost their length. A record that is null or no JSON is of unknown layout.
 """
 
 from __future__ import annotations
@@ -62,26 +63,8 @@ MAPPINGS = (
 )
 
 
-def _shape(paths: list[str]) -> str:
-    """Field paths as schema_of_variant writes them, without types."""
-    tree: dict = {}
-    for p in paths:
-        at = tree
-        for part in p.split("."):
-            at = at.setdefault(part, {})
-
-    def show(t: dict) -> str:
-        parts = []
-        for k in sorted(t):
-            inner = show(t[k]) if t[k] else ""
-            parts.append(f"{k[:-2]}: ARRAY<{inner}>" if k.endswith("[]") else f"{k}: {inner}" if inner else k)
-        return f"OBJECT<{', '.join(parts)}>"
-
-    return show(tree)
-
-
 def fingerprint(paths: list[str]) -> str:
-    return hashlib.sha256(_shape(paths).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
 def schema_paths(schema: T.StructType) -> list[str]:
@@ -95,8 +78,27 @@ def schema_paths(schema: T.StructType) -> list[str]:
 
 
 def json_fingerprint(record: Column) -> Column:
-    """Of a variant's nested field paths; scalar types don't count."""
-    return F.sha2(F.regexp_replace(F.schema_of_variant(record), r": (?!ARRAY<OBJECT|OBJECT)[A-Z]+(\([0-9, ]*\)|<[A-Z]*>)?(?=[,>])", "").cast("binary"), 256)
+    """Of a variant's nested field paths that some mapping uses; null values count as there.
+
+    A path is that of a scalar: where an object or an array lies, other paths begin.
+    """
+
+    def scalar(x: Column) -> Column:
+        return x.isNotNull() & ~F.coalesce(F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)<"), F.lit(False))
+
+    def at(name: str):
+        return lambda x: F.try_variant_get(x, f"$.{name}", "variant")
+
+    found = []
+    for path in sorted({p for m in MAPPINGS if not m.rows for p in m.paths()}):
+        items, inner, name = path.partition("[].")
+        if inner:
+            values = F.transform(F.try_variant_get(record, f"$.{items}", "array<variant>"), at(name))
+            there = F.exists(values, scalar) & ~F.exists(values, lambda x: x.isNotNull() & ~scalar(x))
+        else:
+            there = scalar(F.try_variant_get(record, f"$.{path}", "variant"))
+        found.append(F.when(there, F.lit(path)))
+    return F.sha2(F.array_join(F.array(*found), "\n").cast("binary"), 256)
 
 
 def turns_from_rows(df: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -110,10 +112,18 @@ def turns_from_rows(df: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
     return df.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("pos"), F.col(m.role).cast("string").alias("role"), F.col(m.text).cast("string").alias("text"))
 
 
+def _read_json(df: DataFrame, conv: str, record: str) -> DataFrame:
+    d = df.select(F.col(conv).alias("conv_id"), F.col(record).alias("record"), F.try_parse_json(F.col(record)).alias("v"))
+    return d.withColumn("fp", json_fingerprint(F.col("v")))
+
+
+def _known() -> list[str]:
+    return [fingerprint(m.paths()) for m in MAPPINGS if not m.rows]
+
+
 def turns_from_json(df: DataFrame, conv: str = "conv_id", record: str = "record") -> DataFrame:
-    """Canonical turns of JSON records of mixed layouts; pos, role and text are null for an unknown one."""
-    d = df.select(F.col(conv).alias("conv_id"), F.try_parse_json(F.col(record)).alias("v"))
-    d = d.withColumn("fp", json_fingerprint(F.col("v")))
+    """Canonical turns of JSON records of mixed layouts, of those that some mapping knows."""
+    d = _read_json(df, conv, record).where(F.col("fp").isin(_known()))
     message = "array<struct<role: string, text: string>>"
     turns = F.lit(None).cast(message)
     for m in MAPPINGS:
@@ -130,6 +140,11 @@ def turns_from_json(df: DataFrame, conv: str = "conv_id", record: str = "record"
     return d.select("conv_id", F.col("pos").cast("long").alias("pos"), "t.role", "t.text")
 
 
+def unknown_records(df: DataFrame, conv: str = "conv_id", record: str = "record") -> DataFrame:
+    """conv_id, record, fingerprint of the records that no mapping knows."""
+    return _read_json(df, conv, record).where(F.coalesce(~F.col("fp").isin(_known()), F.lit(True))).select("conv_id", "record", F.col("fp").alias("fingerprint"))
+
+
 def _turn(m: Mapping):
     return lambda x: F.struct(_renamed(x[m.role], m.names).alias("role"), x[m.text].alias("text"))
 

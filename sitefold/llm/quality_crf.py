@@ -8,7 +8,8 @@ The field is fitted on the driver on a bounded sample: at most TRAIN_PER_CLASS l
 class (those of smallest hash) of at most TRAIN_LINES lines, and longer ones only where those are too few; their labels go to all their lines. The
 calibration weighs the classes by their counts over all labels. Scoring reads every whole text.
 
-Cases: null and empty texts, and texts of white space only, score EMPTY_SCORE. Null labels and labels other
+Cases: null and empty texts, and texts of white space only, score EMPTY_SCORE. Very long texts cost their length,
+by lines and in one task each. Null labels and labels other
 than 0 and 1 are not learned from; without labels of one class the score is 1 - EMPTY_SCORE (only good
 known, or none) or EMPTY_SCORE (only bad known). Repeated rows get equal scores, a null doc_id is not held
 out and never learned from, extra columns are ignored or passed on, an empty table gives no rows.
@@ -238,7 +239,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["quality", "own", "weight"])
 
     # at most 2 * TRAIN_PER_CLASS ids are broadcast, and as many documents' measures come back
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.max("text").alias("text")).select("quality", "text")  # one row of a repeated doc_id
     got = sample.mapInArrow(run, "quality int, own binary, weight binary").collect()
     got = sorted(((r["quality"], bytes(r["own"]), bytes(r["weight"])) for r in got), key=lambda r: r[1:])[: 2 * TRAIN_PER_CLASS]
     quality = np.array([q for q, _, _ in got])

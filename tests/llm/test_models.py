@@ -83,6 +83,29 @@ def test_quality_learns_from_long_documents(spark):
     assert got == {i: 1 - i % 2 for i in range(60)}
 
 
+def test_scores_equal_brute_force_over_labellings(spark):
+    """From texts to scores: every labelling of a text's lines is weighed by the field, and lines by their bytes."""
+    docs, labels = spark.read.parquet(f"{TABLES}/documents.parquet"), spark.read.parquet(f"{TABLES}/labels.parquet")
+    model = qc.train(docs, labels)
+    rows = [r for r in docs.select("doc_id", "text").collect() if 0 < len((r["text"] or "").split()) and r["text"].count("\n") < 8][:40]
+    got = {r["doc_id"]: r["score"] for r in qc.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for doc_id, text in rows:
+        lines = text.split("\n")
+        own, weight, n = qc.line_features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        assert n.tolist() == [len(lines)] and weight.tolist() == [sum(b not in b" \t\n\r\f\v" for b in x.encode()) for x in lines]
+        z = (own - model.mean) / model.scale
+        none = np.zeros(z.shape[1])
+        s = [float(np.concatenate((z[i], z[i - 1] if i else none, z[i + 1] if i + 1 < len(z) else none, [1])) @ model.weights) for i in range(len(z))]
+        s = [min(max(x, -30), 30) for x in s]
+        total, good = 0.0, np.zeros(len(s))
+        for y in itertools.product((0, 1), repeat=len(s)):
+            w = math.exp(sum(x / 2 if a else -x / 2 for x, a in zip(s, y, strict=True)) + sum(model.transitions[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += w
+            good += w * np.array(y)
+        raw = min(max(float((weight * good / total).sum() / weight.sum()), 1e-4), 1 - 1e-4)
+        assert got[doc_id] == pytest.approx(1 / (1 + math.exp(-(model.slope * math.log(raw / (1 - raw)) + model.shift))), abs=1e-6)
+
+
 def test_quality_on_nasty_rows(spark):
     labels = [(i, i % 2, 0) for i in range(1, 21)] + [(None, 1, 0), (5, None, 0), (6, 7, 0)]
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -133,7 +156,26 @@ def test_layouts_by_fingerprint(spark):
         got[r["conv_id"]].append((r["pos"], r["role"], r["text"]))
     plain = [(0, "user", hi), (1, "assistant", yo)]
     assert all(got[i] == plain for i in range(7)) and got[7] == [(0, "system", "s"), (1, "user", hi), (2, "assistant", yo)]
-    assert all(got[i] == [(None, None, None)] for i in (8, 9, 90, 91, 92))
+    assert set(got) == set(range(8))
+    apart = {r["conv_id"]: r["record"] for r in cf.unknown_records(df).collect()}
+    assert set(apart) == {8, 9, 90, 91, 92} and json.loads(apart[9]) == records[9] and apart[91] == "not json"
+
+
+def test_other_fields_change_no_layout(spark):
+    """A speaker's name or an id is no other layout; lists of parts and fields of two layouts are, and come back whole."""
+    said = [{"role": "user", "content": "a", "name": "Ann"}, {"role": "assistant", "content": None, "tool": {"x": 1}}]
+    records = [{"messages": said, "id": 7}, {"prompt": "a", "response": "b", "score": 0.5}, {"messages": [{"role": "user", "content": [{"text": "a"}]}]}, {"prompt": "a", "response": "b", "system": "s"}, {"messages": []}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in cf.read_back(cf.format_turns(cf.turns_from_json(df))).collect()}
+    assert got == {0: [("user", "a"), ("assistant", "")], 1: [("user", "a"), ("assistant", "b")]}
+    assert {r["conv_id"]: json.loads(r["record"]) for r in cf.unknown_records(df).collect()} == dict(enumerate(records[2:], 2))
+
+
+def test_very_long_chats(spark):
+    text = "<\\> word " * 200_000
+    df = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = cf.digests(cf.format_turns(cf.turns_from_rows(df))).first()
+    assert r["loss_chars"] == len(text) and r["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_chats_on_nasty_rows(spark):
