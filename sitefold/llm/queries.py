@@ -1,7 +1,5 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
-import corpus_pipeline
-
 from . import chat_format, exact_dedup, host_rules, language_id, mixing, near_dedup, packing, quality_crf, substring_dedup, url_filter
 
 QUERIES = {
@@ -15,7 +13,6 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_language_id": language_id.op9_language_id,
     "op10_host_rules": host_rules.op10_host_rules,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {**exact_dedup.ORACLE, **mixing.ORACLE, **near_dedup.ORACLE, **chat_format.ORACLE, **host_rules.ORACLE}
