@@ -1,5 +1,6 @@
+import itertools
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -126,6 +127,95 @@ def test_ends_grow_over_inserted_and_deleted_words():
         assert abs(got[0] - 30) <= 1 and abs(got[1] - 30 - n) <= 1 and abs(got[3] - 17 - n - shift) <= 1, trial
 
 
+def test_passages_quilted_from_many_documents(spark):
+    """Pieces of a passage come first in documents of their own; the later documents that hold it all are linked with each other."""
+    rnd = random.Random(10)
+    prose = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    passage = prose(90)
+    docs = [row(i, " ".join(prose(40) + passage[lo:hi] + prose(25))) for i, (lo, hi) in enumerate(((0, 24), (20, 48), (44, 70), (66, 90)))]
+    docs += [row(10 + i, " ".join(prose(5 * i) + passage + prose(12))) for i in range(4)]
+    got = sd.repeated_passages(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["n_words"], r["first_id"], r["first_start"], r["similarity"]) for r in got) == [(10 + i, 5 * i, 90, 10, 0, 1.0) for i in (1, 2, 3)]
+
+
+def test_passages_inside_one_document(spark):
+    rnd = random.Random(11)
+    prose = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    passage = prose(70)
+    fuzzy = [w if i % 23 else "new" for i, w in enumerate(passage)]
+    docs = [row(1, " ".join(prose(10) + passage + prose(33) + passage + prose(8) + fuzzy)), row(2, " ".join(prose(200)))]
+    got = sd.repeated_passages(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["n_words"], r["first_id"], r["first_start"]) for r in got)[0] == (1, 113, 70, 1, 10)
+    assert len(got) == 2 and max(r["start_word"] for r in got) in (191, 192)
+
+
+def test_every_exact_run_is_covered(spark):
+    """Brute force over all runs of MIN_WORDS words: each that occurs before is in a passage, and each passage is as similar as it says."""
+    rnd = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(60)]
+    stock = [[rnd.choice(vocabulary) for _ in range(rnd.randrange(20, 140))] for _ in range(12)]
+    texts = []
+    for _ in range(80):
+        t = []
+        for _ in range(rnd.randrange(1, 6)):
+            part = list(rnd.choice(stock)) if rnd.random() < 0.6 else [rnd.choice(vocabulary) for _ in range(rnd.randrange(1, 60))]
+            for _ in range(rnd.randrange(4) if rnd.random() < 0.5 else 0):
+                part[rnd.randrange(len(part))] = rnd.choice(vocabulary)
+            t += part[rnd.randrange(len(part) // 2 + 1) :]
+        texts.append(t)
+    got = sd.repeated_passages(spark.createDataFrame([row(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)).collect()
+    covered = defaultdict(set)
+    for r in got:
+        assert (r["first_id"], r["first_start"]) < (r["doc_id"], r["start_word"]) and r["n_words"] >= sd.MIN_WORDS
+        a, b = texts[r["doc_id"]][r["start_word"] :][: r["n_words"]], texts[r["first_id"]][r["first_start"] :][: r["first_words"]]
+        row_ = list(range(len(b) + 1))
+        for i, w in enumerate(a, 1):
+            row_, last = [i], row_
+            for j, x in enumerate(b, 1):
+                row_.append(min(row_[-1] + 1, last[j] + 1, last[j - 1] + (w != x)))
+        assert max(len(a), len(b)) - row_[-1] >= sd.SIMILARITY * max(len(a), len(b))
+        covered[r["doc_id"]].update(range(r["start_word"], r["start_word"] + r["n_words"]))
+    first, missed, runs = {}, 0, 0
+    for i, t in enumerate(texts):
+        for j in range(len(t) - sd.MIN_WORDS + 1):
+            where = first.setdefault(tuple(t[j : j + sd.MIN_WORDS]), (i, j))
+            if where[0] != i or j - where[1] >= sd.MIN_WORDS:
+                runs += 1
+                missed += not covered[i] >= set(range(j, j + sd.MIN_WORDS))
+    assert runs > 1000 and missed == 0
+
+
+def test_fuzzy_recall(spark):
+    """Passages of 55 and 100 words with 5, 10 and 15 % of their words edited at random; every copy is looked for."""
+    rnd = random.Random(1)
+    word = lambda: f"w{rnd.randrange(30_000)}"
+    prose = lambda n: [word() for _ in range(n)]
+    rows, kinds = [], {}
+    for size, share in itertools.product((55, 100), (0.05, 0.1, 0.15)):
+        for _ in range(40):
+            p = prose(size)
+            q = list(p)
+            for at in sorted(rnd.sample(range(size), int(size * share)), reverse=True):
+                q[at : at + 1] = rnd.choice(([word()], [], [word(), q[at]]))
+            i = len(rows)
+            rows += [row(i, " ".join(prose(30) + p + prose(30))), row(i + 1, " ".join(prose(40) + q + prose(20)))]
+            kinds[i + 1] = share
+    found = {r["doc_id"] for r in sd.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect() if r["first_id"] == r["doc_id"] - 1}
+    recall = {s: sum(i in found for i in kinds if kinds[i] == s) / 80 for s in (0.05, 0.1, 0.15)}
+    assert recall[0.05] == 1 and recall[0.1] >= 0.98 and recall[0.15] >= 0.93, recall
+
+
+def test_rising_matches_give_the_same_chains():
+    rnd = random.Random(13)
+    for _ in range(300):
+        x, y = np.cumsum([rnd.choice((1, 5, 30, 90)) for _ in range(20)]), np.cumsum([rnd.choice((1, 5, 30, 90)) for _ in range(20)])
+        want = sorted(sd.chains(x.tolist(), y.tolist(), least=1))
+        assert sorted(c.tolist() for c in sd.best_chains(x, y, least=1)) == want
+        for c in want:
+            bx, by, n = sd.blocks_of(x[c], y[c])
+            assert {(a + i, b + i) for a, b, k in zip(bx, by, n, strict=True) for i in range(k - sd.K + 1)} >= set(zip(x[c], y[c], strict=True))
+
+
 def test_every_copy_in_a_later_document_is_found(spark):
     rnd = random.Random(6)
     prose = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
