@@ -11,16 +11,6 @@ def m_value(beta: Column) -> Column:
     return F.when((beta > 0) & (beta < 1), F.log2(beta / (1 - beta)))
 
 
-def beta_of(m: Column) -> Column:
-    return F.pow(F.lit(2.0), m) / (1 + F.pow(F.lit(2.0), m))
-
-
-def weighted_mean(value: Column, weight: Column) -> Column:
-    """Aggregate: rows without a value carry no weight; null without weight."""
-    known = F.when(value.isNotNull(), weight)
-    return F.try_divide(F.sum(value * weight), F.sum(known))
-
-
 def sample_label(path: Column) -> Column:
     """File stem without its channel marks."""
     stem = F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)

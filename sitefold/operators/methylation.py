@@ -10,12 +10,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BadInput
 from ..frame import SiteFrame, col
 from ..functions.scalar import m_value
+from ..sources import idat
 
 KEYS = ("probe_id", "sample_label")
 # Names of columns in tables of this kind.
@@ -47,11 +48,15 @@ def with_m_values(betas: DataFrame) -> DataFrame:
 
 
 def join_beta_m(betas: DataFrame, ms: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Left join one to one; BadInput if a key repeats on either side."""
-    for name, df in (("Beta", betas), ("M", ms)):
-        if not df.groupBy(*keys).count().where("count > 1").isEmpty():
-            raise BadInput(f"{name} values repeat a {' and '.join(keys)}")
-    return betas.join(ms, list(keys), "left")
+    """Left join one to one, as one aggregate on the keys; reading the result raises if a key repeats on either side."""
+    keys = list(keys)
+    sides = [[c for c in df.columns if c not in keys] for df in (betas, ms)]
+    names = ("_beta", "_m")
+    rows = [df.select(*map(col, keys), F.struct(F.lit(True).alias("_there"), *[col(c) for c in own]).alias(name)) for df, own, name in zip((betas, ms), sides, names, strict=True)]
+    both = rows[0].unionByName(rows[1], allowMissingColumns=True).groupBy(*keys).agg(*[F.count(x).alias(f"n{x}") for x in names], *[F.any_value(x, True).alias(x) for x in names])
+    again = F.raise_error(F.concat(F.lit("repeated: "), F.to_json(F.struct(*map(col, keys)))))
+    both = both.where("n_beta > 0").where(F.when((F.col("n_beta") > 1) | (F.col("n_m") > 1), again.cast("boolean")).otherwise(True))
+    return both.select(*map(col, keys), *[F.col("_beta")[c].alias(c) for c in sides[0]], *[F.col("_m")[c].alias(c) for c in sides[1]])
 
 
 def mask_probes(values: DataFrame, annotation: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
@@ -64,8 +69,8 @@ def mask_probes(values: DataFrame, annotation: DataFrame, masks: Sequence[str] =
 
 
 def intensities_to_betas(intensities: DataFrame, offset: float = 100.0) -> DataFrame:
-    """(…, meth, unmeth) -> with beta = meth / (meth + unmeth + offset) and m_value; negative intensities count as 0."""
-    meth, unmeth = F.greatest("meth", F.lit(0)), F.greatest("unmeth", F.lit(0))
+    """(…, meth, unmeth) -> with beta = meth / (meth + unmeth + offset) and m_value; negative intensities count as 0, a missing one gives none."""
+    meth, unmeth = (F.when(F.col(c).isNotNull(), F.greatest(c, F.lit(0))) for c in ("meth", "unmeth"))
     return with_m_values(intensities.withColumn("beta", F.try_divide(meth.cast("double"), meth + unmeth + offset))).drop("meth", "unmeth")
 
 
@@ -126,14 +131,10 @@ def normal_exponential(x: np.ndarray, mu: float, sigma: float, alpha: float) ->
     sigma, alpha = max(sigma, 1e-6), max(alpha, 1e-6)
     center = x - mu - sigma * sigma / alpha
     z = center / sigma
-    out = np.empty_like(z)
-    for i, v in enumerate(z):
-        if v > -30:
-            tail = 0.5 * math.erfc(-v / math.sqrt(2))
-            out[i] = center[i] + sigma * math.exp(-0.5 * v * v) / math.sqrt(2 * math.pi) / max(tail, 1e-300)
-        else:  # the tail's first terms
-            out[i] = -sigma / v
-    return np.maximum(out, 1e-6)
+    v = np.maximum(z, -30)
+    tail = 0.5 * np.array([math.erfc(t) for t in (-v / math.sqrt(2)).tolist()])
+    near = center + sigma * np.exp(-0.5 * v * v) / math.sqrt(2 * math.pi) / np.maximum(tail, 1e-300)
+    return np.maximum(np.where(z > -30, near, -sigma / np.minimum(z, -1)), 1e-6)  # far out, the tail's first term
 
 
 def noob(signals: DataFrame, background: DataFrame, keys: Sequence[str] = ("sample_label", "channel"), offset: float = 15.0) -> DataFrame:
@@ -193,3 +194,30 @@ def preprocess(signals: DataFrame, background: DataFrame, annotation: DataFrame
         values = mask_probes(values, annotation)
     both = values.groupBy("probe_id", "sample_label").agg(F.max(F.when(F.col("allele") == "meth", F.col("intensity"))).alias("meth"), F.max(F.when(F.col("allele") == "unmeth", F.col("intensity"))).alias("unmeth"))
     return intensities_to_betas(both.where("meth IS NOT NULL AND unmeth IS NOT NULL"), offset).where("beta IS NOT NULL")
+
+
+def out_of_band(scans: DataFrame, manifest: DataFrame) -> DataFrame:
+    """sample_label, channel, intensity: what probes of one channel show in the other one, which is background.
+
+    manifest(address, channel, ...); addresses without a channel, which both channels read, have none.
+    """
+    own = manifest.where("channel IS NOT NULL").select("address", F.col("channel").alias("own")).distinct()
+    return scans.join(own, "address").where("channel != own").select("sample_label", "channel", F.col("mean").cast("double").alias("intensity"))
+
+
+def preprocess_folder(spark: SparkSession, manifest: DataFrame, idat_dir: str | None = None, samples: DataFrame | None = None, fallback: str | None = None, annotation: DataFrame | None = None, min_beads: int = 1, threshold: float = 0.05) -> DataFrame:
+    """From a folder of scans to probe_id, sample_label, beta, m_value.
+
+    The folder is idat_dir, or the first idat_dir of samples, or fallback where that is missing; BadInput if
+    there is none or it holds no scans. manifest(address, channel, probe_id, allele).
+    """
+    folder = idat_dir
+    if folder is None and samples is not None and "idat_dir" in samples.columns:
+        first = samples.where("idat_dir IS NOT NULL").select("idat_dir").first()
+        folder = first["idat_dir"] if first else None
+    if folder is None or not idat.exists(spark, folder):
+        folder = fallback
+    if folder is None:
+        raise BadInput("no folder of scans")
+    scans = idat.read_idat(spark, folder, min_beads)
+    return preprocess(idat.intensities(scans, manifest), out_of_band(scans, manifest), annotation, threshold)

@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import BadInput
@@ -107,24 +107,25 @@ def value_counts_station(frame: SiteFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("station", "s.column", "s.value").agg(F.count("*").alias("n"))
 
 
+def _with_least(counts: DataFrame, policy: Policy) -> DataFrame:
+    """counts with hidden: whether the site's rarest value of the column is below the threshold, or nothing is shown."""
+    least = F.min("n").over(Window.partitionBy("station", "column"))
+    return counts.withColumn("hidden", (least < policy.privacy_threshold) | F.lit(not policy.shows("counts_unique_values")))
+
+
 def value_counts_masked(frame: SiteFrame, columns: Sequence[str], policy: Policy | None = None) -> DataFrame:
     """value_counts_station without the columns of a site in which any value is rarer than the threshold."""
-    policy = policy or Policy()
-    counts = value_counts_station(frame, columns)
-    if not policy.shows("counts_unique_values"):
-        return counts.where(F.lit(False))
-    open_ = counts.groupBy("station", "column").agg(F.min("n").alias("least")).where(F.col("least") >= policy.privacy_threshold)
-    return counts.join(open_.select("station", "column"), ["station", "column"], "left_semi")
+    return _with_least(value_counts_station(frame, columns), policy or Policy()).where(~F.col("hidden")).drop("hidden")
 
 
 def value_counts(frame: SiteFrame, columns: Sequence[str], policy: Policy | None = None) -> DataFrame:
-    """column, value, n over the sites that show the column, and n_masked_stations that don't."""
-    policy = policy or Policy()
-    counts = value_counts_station(frame, columns)
-    least = counts.groupBy("station", "column").agg(F.min("n").alias("least"))
-    hidden = (F.col("least") < policy.privacy_threshold) | F.lit(not policy.shows("counts_unique_values"))
-    masked = least.groupBy("column").agg(F.count_if(hidden).alias("n_masked_stations"))
-    shown = value_counts_masked(frame, columns, policy).groupBy("column", "value").agg(F.sum("n").alias("n"))
+    """column, value, n over the sites that show the column, and n_masked_stations that don't.
+
+    The counts are one aggregate of one scan, used twice.
+    """
+    counts = _with_least(value_counts_station(frame, columns), policy or Policy())
+    masked = counts.groupBy("column", "station").agg(F.bool_or("hidden").alias("hidden")).groupBy("column").agg(F.count_if("hidden").alias("n_masked_stations"))
+    shown = counts.where(~F.col("hidden")).groupBy("column", "value").agg(F.sum("n").alias("n"))
     return shown.join(masked, "column").select("column", "value", "n", "n_masked_stations")
 
 

@@ -6,16 +6,17 @@ union of rows: merging happens after that rule.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BadInput
-from ..frame import SiteFrame
+from ..frame import SiteFrame, col
 from ..functions.dist import t_two_sided_udf
 from ..policy import Policy
-from .moments import check_rows, merge_moments, station_moments
+from .moments import merge_moments, station_moments
 
 
 def _columns(frame: SiteFrame, columns: Sequence[str] | None, group: str | None) -> list[str]:
@@ -67,20 +68,28 @@ def ttest(frame: SiteFrame, columns: Sequence[str] | None = None, group: str | N
     frame = frame.include(stations)
     if group:
         frame.require([group])
-    check_rows(frame, policy.ttest_min_rows)
+    # one aggregate tells the sites' rows, and the groups or sites: at most three of these come back, and sites below the rule
+    side = frame.value(group).cast("string") if group else col(frame.station)
+    cells = frame.df.groupBy(col(frame.station).alias("station"), side.alias("side")).agg(F.count("*").alias("n"))
+    few = cells.groupBy("station").agg(F.sum("n").alias("n")).where(F.col("n") <= policy.ttest_min_rows)
+    sides = cells.where("side IS NOT NULL" if group else "true").select("side").distinct().limit(3)
+    rows = sides.select(F.lit(False).alias("few"), "side").unionByName(few.select(F.lit(True).alias("few"), F.col("station").cast(cells.schema["side"].dataType).alias("side"))).collect()
+    below = sorted(str(r["side"]) for r in rows if r["few"])
+    if below:
+        raise BadInput(f"sites with {policy.ttest_min_rows} rows or fewer: {below}")
+    known = sorted((r["side"] for r in rows if not r["few"]), key=lambda x: (x is None, x))
+    if len(known) != 2:
+        raise BadInput(f"{group!r} must have exactly two values over all sites, found {known}" if group else f"without a group exactly two sites are compared, found {known}")
     parts = ttest_partials(frame, columns, group, compat)
     if group:
-        found = sorted(r[0] for r in frame.df.select(frame.value(group).cast("string")).where(frame.value(group).isNotNull()).distinct().limit(3).collect())
-        if len(found) != 2:
-            raise BadInput(f"{group!r} must have exactly two values over all sites, found {found}")
-        sides = merge_moments(parts, ["group", "column"]).withColumnRenamed("group", "side")
-        return pooled_t(sides, *found)
-    known = sorted(r[0] for r in parts.select("station").union(frame.df.select(F.col(f"`{frame.station}`"))).distinct().limit(3).collect())
-    if len(known) != 2:
-        raise BadInput(f"without a group exactly two sites are compared, found {known}")
+        return pooled_t(merge_moments(parts, ["group", "column"]).withColumnRenamed("group", "side"), *known)
     first, second = stations if stations else known
     return pooled_t(parts.withColumnRenamed("station", "side"), first, second)
 
 
 def to_dict(result: DataFrame) -> dict[str, dict[str, float]]:
     return {r["column"]: {"t_score": r["t_score"], "p_value": r["p_value"]} for r in result.orderBy("column").collect()}
+
+
+def to_json(result: DataFrame) -> str:
+    return json.dumps(to_dict(result))

@@ -6,9 +6,17 @@ Means, tests and spreads are rounded in both engines, so that the order of summa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import statistics
+import tempfile
+import uuid
+from contextlib import contextmanager
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import BadInput, ColumnNotAllowed, PolicyViolation
 from ..frame import SiteFrame
 from ..functions.scalar import body_mass_index, sample_label
 from ..operators import anova as av
@@ -20,6 +28,8 @@ from ..operators import pca as pc
 from ..operators import summary as su
 from ..operators import ttest as tt
 from ..policy import Policy
+from ..sources import idat
+from ..sources import tables as so
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -371,14 +381,30 @@ def pca_eigen_2d(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "component bigint, explained_variance double, explained_variance_ratio double"))
 
 
-@query()
+@query("""WITH v AS (SELECT i, embedding[i]::DOUBLE AS x FROM (SELECT embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+  t AS (SELECT round(sum(s), 4) AS total_variance FROM (SELECT var_samp(x) AS s FROM v GROUP BY i))
+  SELECT unnest(range(1, 9)) AS component, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS overlap, true AS descending, total_variance FROM t""")
 def pca_components(spark, sf_dir):
-    """Directions of the 64-dimensional embeddings; a row per dimension and component."""
+    """Directions of the 64-dimensional embeddings: of each, how far C v is from its eigenvalue times v, its overlap with the others, and all variance."""
     e = table(spark, sf_dir, "embeddings").withColumn("station", F.col("label") % 3)
     d = e.select(F.max(F.size("embedding"))).first()[0] or 0
     r = pc.pca_of(pc.gram_of_vectors(e, "station", "embedding", d), [f"x{i}" for i in range(d)], 8)
-    rows = [(r.columns[i], j + 1, float(r.components[i, j])) for i in range(d) for j in range(r.components.shape[1])]
-    return spark.createDataFrame(rows, "feature string, component int, loading double")
+    rows = []
+    for j, value in enumerate(r.explained_variance.tolist()):
+        v = r.components[:, j]
+        other = max((abs(float(v @ r.components[:, k])) for k in range(8) if k != j), default=0.0)
+        rows.append((j + 1, float(v @ v), float(abs(r.covariance @ v - value * v).max()), other, bool(j == 0 or value <= r.explained_variance[j - 1]), value / float(r.explained_variance_ratio[j])))
+    return rounded(spark.createDataFrame(rows, "component bigint, norm double, residual double, overlap double, descending boolean, total_variance double"), total_variance=4)
+
+
+@query(f"""WITH li AS (SELECT * FROM ({LI.format(station="l_returnflag")}) WHERE quantity IS NOT NULL) SELECT count(*) AS n, round(sum(quantity), 2) AS sum_quantity, round(sum(quantity * tax), 2) AS product FROM li WHERE station != 'N'""")
+def pca_skips_broken_sites(spark, sf_dir):
+    """A site whose matrix has another shape is left out of the merge."""
+    f = lineitem(spark, sf_dir, "l_returnflag")
+    whole = pc.gram_station(SiteFrame(f.df.where("station != 'N'")), ["quantity", "tax"])
+    broken = pc.gram_station(SiteFrame(f.df.where("station = 'N'")), ["quantity"])
+    n, sums, products = pc.merge_grams(whole.unionByName(broken), 2)
+    return rounded(spark.createDataFrame([(n, float(sums[0]), float(products[0, 1]))], "n bigint, sum_quantity double, product double"), 2)
 
 
 # ---------------------------------------------------------------- methylation
@@ -533,3 +559,326 @@ def mean_by_category(spark, sf_dir):
     return rounded(su.mean_by_category(customers(spark, sf_dir), "segment", "balance"))
 
 
+# ---------------------------------------------------------------- columns, rules and disclosure
+
+
+def outcome(call) -> str:
+    """The name of the error that call raises, or "passes"."""
+    try:
+        call()
+    except (BadInput, ColumnNotAllowed, PolicyViolation, ValueError) as e:
+        return type(e).__name__
+    return "passes"
+
+
+def attempts(spark, calls: dict) -> DataFrame:
+    return spark.createDataFrame([(k, outcome(v)) for k, v in calls.items()], "request string, result string")
+
+
+@query("""SELECT * FROM (VALUES ('numeric', 'quantity'), ('numeric', 'extendedprice'), ('numeric', 'discount'), ('numeric', 'tax'), ('other', 'status'), ('other', 'flag'),
+  ('named numeric', 'tax'), ('named other', 'quantity'), ('named other', 'flag')) t(kind, "column")""")
+def default_columns(spark, sf_dir):
+    """All columns where none are named, split into numbers and others; naming numbers makes the rest categories."""
+    f = lineitem(spark, sf_dir)
+    first, named = su.split_columns(f, []), su.split_columns(f, ["quantity", "tax", "flag"], ["tax"])
+    rows = [(kind, c) for kind, names in zip(("numeric", "other", "named numeric", "named other"), (*first, *named), strict=True) for c in names]
+    return spark.createDataFrame(rows, "kind string, column string")
+
+
+@query("""SELECT * FROM (VALUES ('summary of a column that is not there', 'BadInput'), ('t-test of text', 'BadInput'), ('t-test of numbers', 'passes'), ('numbers not among the columns', 'BadInput'),
+  ('group is outcome', 'BadInput'), ('analysis of no features', 'BadInput'), ('components of text', 'BadInput'), ('group that is not there', 'BadInput'), ('text as numbers', 'BadInput')) t(request, result)""")
+def refused_requests(spark, sf_dir):
+    f, o = lineitem(spark, sf_dir), orders(spark, sf_dir)
+    return attempts(spark, {
+        "summary of a column that is not there": lambda: su.summary(f, ["quantity", "nothing"]),
+        "t-test of text": lambda: tt.ttest(f, ["flag"], "status"),
+        "t-test of numbers": lambda: tt.ttest(f, ["tax"], "status"),
+        "numbers not among the columns": lambda: su.split_columns(f, ["tax"], ["discount"]),
+        "group is outcome": lambda: fi.contingency(f, "flag", "flag"),
+        "analysis of no features": lambda: av.anova(f, "flag", []),
+        "components of text": lambda: pc.pca(f, ["flag"]),
+        "group that is not there": lambda: tt.ttest(f, ["tax"], "nothing"),
+        "text as numbers": lambda: su.cast_numeric(o, ["priority"]),
+    })
+
+
+@query("""SELECT * FROM (VALUES ('balance', 'ColumnNotAllowed'), ('segment', 'passes'), (' segment', 'passes'), ('secret', 'ColumnNotAllowed'), ('name', 'passes'), ('key', 'ColumnNotAllowed')) t(request, result)""")
+def shared_columns(spark, sf_dir):
+    """Lists of columns from the environment, split at commas and not trimmed; both lists apply."""
+    allowed = Policy.from_env({"SUMMARY_ALLOWED_COLUMNS": "segment, segment,name,key", "SUMMARY_DISALLOWED_COLUMNS": "key,secret"})
+    return attempts(spark, {c: (lambda c=c: mo.check_columns([c], allowed)) for c in ("balance", "segment", " segment", "secret", "name", "key")})
+
+
+@query("""SELECT * FROM (VALUES ('min_rows', 12), ('privacy_threshold', 5), ('ttest_min_rows', 7), ('fisher_min_rows', 3), ('hidden', 2), ('bad number', -1)) t(setting, value)""")
+def rules_from_environment(spark, sf_dir):
+    env = {"SUMMARY_MINIMUM_ROWS": "12", "T_TEST_MINIMUM_NUMBER_OF_RECORDS": "7", "SUMMARY_ALLOW_MIN": "false", "SUMMARY_ALLOW_VARIANCE": "0", "SUMMARY_ALLOW_MAX": "true"}
+    p = Policy.from_env(env)
+    bad = -1 if outcome(lambda: Policy.from_env({"SUMMARY_MINIMUM_ROWS": "many"})) == "ValueError" else 0
+    rows = [("min_rows", p.min_rows), ("privacy_threshold", p.privacy_threshold), ("ttest_min_rows", p.ttest_min_rows), ("fisher_min_rows", p.fisher_min_rows), ("hidden", len(p.hidden)), ("bad number", bad)]
+    return spark.createDataFrame(rows, "setting string, value int")
+
+
+@query("""WITH n AS (SELECT c_nationkey AS a, count(*) AS n FROM customer WHERE c_nationkey < 4 GROUP BY 1)
+  SELECT x.a AS first, y.a AS second, CASE WHEN least(x.n, y.n) <= 60 THEN 'BadInput' ELSE 'passes' END AS result FROM n x JOIN n y ON x.a < y.a""")
+def ttest_minimum_rows(spark, sf_dir):
+    """Two sites at a time; each needs more rows than the rule says."""
+    f = customers(spark, sf_dir)
+    pairs = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    known = {r[0] for r in f.df.where("station < 4").select("station").distinct().collect()}
+    rows = [(a, b, outcome(lambda a=a, b=b: tt.ttest(f, ["balance"], stations=[a, b], policy=Policy(ttest_min_rows=60)))) for a, b in pairs if {a, b} <= known]
+    return spark.createDataFrame(rows, "first int, second int, result string")
+
+
+@query("""WITH d AS (SELECT d.lang, count(*) AS n, count(DISTINCT l.quality) AS q, count(DISTINCT l.toxic) AS t FROM labels l JOIN documents d USING (doc_id) GROUP BY 1)
+  SELECT lang AS station, CASE WHEN n > (SELECT median(n) FROM d) AND q = 2 AND t = 2 THEN 'passes' ELSE 'BadInput' END AS result FROM d""")
+def fisher_minimum_rows(spark, sf_dir):
+    """One site at a time, tested before rows without a value are left out; the rule is the median of the sites' rows."""
+    f = judged(spark, sf_dir)
+    sites = {r["station"]: r["count"] for r in f.df.groupBy("station").count().collect()}
+    middle = int(statistics.median(sites.values()))
+    rows = [(s, outcome(lambda s=s: fi.fisher(f, "quality", "toxic", stations=[s], policy=Policy(fisher_min_rows=middle)))) for s in sites]
+    return spark.createDataFrame(rows, "station string, result string")
+
+
+@query(f"""WITH li AS ({ORDERS}) SELECT station, NULL::BIGINT AS complete_rows, 0::BIGINT AS shown_values, NULL::DOUBLE AS ssd FROM li GROUP BY station""")
+def hidden_counts(spark, sf_dir):
+    """Complete rows, counts of values and deviations that sites don't share."""
+    f, p = orders(spark, sf_dir), Policy(hidden=frozenset({"num_complete_rows", "counts_unique_values", "variance"}))
+    rows = su.complete_rows(f, policy=p)
+    shown = su.value_counts_masked(f, ["priority", "year"], p).groupBy("station").agg(F.count("*").alias("shown_values"))
+    ssd = su.ssd_about(f, {"price": 1.0}, p).select("station", "ssd")
+    return rows.join(shown, "station", "left").join(ssd, "station").select("station", "complete_rows", F.coalesce("shown_values", F.lit(0).cast("long")).alias("shown_values"), "ssd")
+
+
+@query(f"""WITH {long_sql("l_linestatus")}, q AS (SELECT station, "column", {QUARTILES_SQL} FROM x GROUP BY station, "column")
+  SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY station) - 1 AS place, station, q25, median, q75, iqr FROM q""")
+def quartile_lists(spark, sf_dir):
+    """Every site's quartiles, as one list for each column, in the order of sites."""
+    lists = su.quartile_lists(lineitem(spark, sf_dir), NUMBERS)
+    return rounded(lists.select("column", F.posexplode("quartiles").alias("place", "q")).select("column", F.col("place").cast("long").alias("place"), "q.*"))
+
+
+@query(f"""WITH {long_sql("", "station", ("price",), ORDERS)}, c AS (SELECT station, count(*) FILTER (priority IS NOT NULL AND year IS NOT NULL AND price IS NOT NULL) AS n FROM li GROUP BY 1)
+  SELECT 'numeric' AS part, 'count' AS name, count(price)::VARCHAR AS value FROM li UNION ALL SELECT 'numeric', 'missing', (count(*) - count(price))::VARCHAR FROM li
+  UNION ALL SELECT 'categorical', 'priority ' || count(priority) || ' ' || (count(*) - count(priority)), '' FROM li
+  UNION ALL SELECT 'counts_unique_values', year, count(*)::VARCHAR FROM li GROUP BY year HAVING min(5) <= 5
+  UNION ALL SELECT 'num_complete_rows_per_node', (row_number() OVER (ORDER BY station) - 1)::VARCHAR, n::VARCHAR FROM c
+  UNION ALL SELECT 'quartiles', count(*)::VARCHAR, '' FROM c""")
+def summary_json(spark, sf_dir):
+    """The whole summary as JSON texts, read back."""
+    f = orders(spark, sf_dir)
+    got = {k: json.loads(v) for k, v in su.summary(f, ["priority", "year", "price"], policy=Policy(min_rows=1, privacy_threshold=1)).to_json().items()}
+    price, priority = got["numeric"]["price"], got["categorical"]["priority"]
+    rows = [("numeric", k, str(price[k])) for k in ("count", "missing")] + [("categorical", f"priority {priority['count']} {priority['missing']}", "")]
+    rows += [("counts_unique_values", k, str(n)) for k, n in got["counts_unique_values"]["year"].items()]
+    rows += [("num_complete_rows_per_node", str(i), str(n)) for i, n in enumerate(got["num_complete_rows_per_node"])] + [("quartiles", str(len(price["median"])), "")]
+    return spark.createDataFrame(rows, "part string, name string, value string")
+
+
+@query("""SELECT l.quality::VARCHAR AS "group", l.toxic::VARCHAR AS outcome, count(*) AS n FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL""")
+def fisher_table_json(spark, sf_dir):
+    """The table in split form, read back; pairs that never occur left out, as in SQL."""
+    groups, outcomes, data = fi.table_from_json(fi.fisher(judged(spark, sf_dir), "quality", "toxic").table_json())
+    return spark.createDataFrame([(str(g), str(o), n) for g, line in zip(groups, data, strict=True) for o, n in zip(outcomes, line, strict=True) if n], "group string, outcome string, n bigint")
+
+
+@query("""SELECT unnest(range(4)) AS place, unnest(['discount', 'extendedprice', 'quantity', 'tax']) AS "column" """)
+def ttest_json_order(spark, sf_dir):
+    """Columns of the JSON result, in ascending order."""
+    found = json.loads(tt.to_json(tt.ttest(lineitem(spark, sf_dir), NUMBERS)))
+    return spark.createDataFrame(list(enumerate(found)), "place bigint, column string")
+
+
+# ---------------------------------------------------------------- sites and sources
+
+
+@query("""SELECT CASE WHEN n_regionkey < 2 THEN 'near' ELSE 'far' END AS station, count(*) AS n, sum(n_nationkey)::BIGINT AS keys FROM nation WHERE n_regionkey != 4 GROUP BY 1""")
+def sites_together(spark, sf_dir):
+    """Tables of three sites as one frame, of which two are used."""
+    n = table(spark, sf_dir, "nation")
+    f = SiteFrame.from_sites({"near": n.where("n_regionkey < 2"), "far": n.where("n_regionkey IN (2, 3)"), "out": n.where("n_regionkey = 4")}).include(["near", "far"])
+    return f.df.groupBy("station").agg(F.count("*").alias("n"), F.sum("n_nationkey").cast("long").alias("keys"))
+
+
+@contextmanager
+def scratch(spark):
+    """A folder of the shared place, for the length of a query that reads its own files."""
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/sitefold-files-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A few rows, apart from the files they come from."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+@query("""SELECT 'r' || n_regionkey AS station, n_nationkey, n_name FROM nation WHERE n_regionkey < 2""")
+def csv_sites(spark, sf_dir):
+    """A CSV file for each site, read as one frame."""
+    n = table(spark, sf_dir, "nation")
+    with scratch(spark) as d:
+        for i in (0, 1):
+            n.where(F.col("n_regionkey") == i).select("n_nationkey", "n_name").coalesce(1).write.option("header", True).csv(f"{d}/{i}")
+        return kept(so.read_sites(spark, {f"r{i}": f"{d}/{i}" for i in (0, 1)}, schema="n_nationkey int, n_name string").df.select("station", "n_nationkey", "n_name"))
+
+
+@query("""SELECT 'there' AS name, count(*) AS cpg_sites, 64::BIGINT AS samples, true AS "exists" FROM embeddings WHERE vec_id < 30 UNION ALL SELECT 'absent', 0, 0, false""")
+def matrix_files(spark, sf_dir):
+    """Rows and samples of matrices of betas; one that can't be read is an empty frame."""
+    with scratch(spark) as d:
+        wide_betas(spark, sf_dir).where(F.substring("probe_id", 3, 9).cast("int") < 30).coalesce(1).write.option("header", True).csv(f"{d}/m")
+        info = so.matrix_info(spark, {"there": f"{d}/m", "absent": f"{d}/none"})
+    return spark.createDataFrame([(k, v["cpg_sites"], v["samples"], v["exists"]) for k, v in info.items()], "name string, cpg_sites bigint, samples bigint, exists boolean")
+
+
+@query("""SELECT r_regionkey, r_name FROM region""")
+def jdbc_table(spark, sf_dir):
+    """A table written to and read from a database within the driver."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    table(spark, sf_dir, "region").select("r_regionkey", "r_name").coalesce(1).write.format("jdbc").options(url=url, dbtable="region", driver=driver).save()
+    return kept(so.read_jdbc(spark, url, "region", driver=driver).toDF("r_regionkey", "r_name"))
+
+
+def scans(spark, sf_dir, folder: str) -> DataFrame:
+    """Writes a scan file per channel of every supplier's first rows, and one of another kind; the probes they hold."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 4").select("s_suppkey").collect()
+    probes = table(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", "p_size").orderBy("p_partkey").collect()
+    address, size = np.array([r["p_partkey"] for r in probes]), np.array([r["p_size"] for r in probes])
+    for r in s:
+        k = r["s_suppkey"]
+        for channel, end in (("Grn", "_Grn.idat"), ("Red", "_Red.IDAT")):
+            mean = size * (100 + 7 * k) + (5 if channel == "Red" else 0) + address
+            write_file(spark, f"{folder}/chips/{200000 + k}_R01C0{k}{end}", idat.write_idat(address, mean, size, size % 6))
+    write_file(spark, f"{folder}/chips/notes.txt", b"no scan")
+    write_file(spark, f"{folder}/chips/200001_R01C01_Grn.idat.gz", b"packed")
+    return table(spark, sf_dir, "part").where("p_partkey <= 200")
+
+
+def write_file(spark, path: str, raw: bytes) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+    out.write(bytearray(raw))
+    out.close()
+
+
+SCANNED = """SELECT (200000 + s_suppkey) || '_R01C0' || s_suppkey AS sample_label, c.channel, p_partkey::BIGINT AS address, (p_size * (100 + 7 * s_suppkey) + CASE WHEN c.channel = 'Red' THEN 5 ELSE 0 END + p_partkey)::INT AS mean,
+  p_size::INT AS sd, (p_size % 6)::INT AS n_beads FROM supplier, part, (VALUES ('Grn'), ('Red')) c(channel) WHERE s_suppkey <= 4 AND p_partkey <= 200"""
+
+
+@query(f"""SELECT DISTINCT sample_label, 'asked' AS place FROM ({SCANNED}) UNION ALL SELECT DISTINCT sample_label, 'fallback' FROM ({SCANNED}) UNION ALL SELECT 'none', 'folder without scans'""")
+def scan_manifest(spark, sf_dir):
+    """Samples of a folder; of the fallback where it is missing; none of a folder that holds no scans."""
+    with scratch(spark) as d:
+        scans(spark, sf_dir, d)
+        write_file(spark, f"{d}/bare/x.txt", b"")
+        asked = idat.sample_manifest(spark, f"{d}/chips").select("sample_label", F.lit("asked").alias("place"))
+        other = idat.sample_manifest(spark, None, f"{d}/missing", f"{d}/chips/200001_R01C01_Grn.idat").select("sample_label", F.lit("fallback").alias("place"))
+        bare = idat.sample_manifest(spark, f"{d}/bare", fallback=f"{d}/chips").isEmpty()
+        return kept(asked.unionByName(other).unionByName(spark.createDataFrame([("none" if bare else "some", "folder without scans")], "sample_label string, place string")))
+
+
+@query(f"""SELECT * FROM ({SCANNED}) WHERE n_beads >= 3""")
+def scan_contents(spark, sf_dir):
+    """Intensities of probes with three beads or more."""
+    with scratch(spark) as d:
+        scans(spark, sf_dir, d)
+        return kept(idat.read_idat(spark, d, min_beads=3))
+
+
+@query(f"""WITH s AS ({SCANNED}), g AS (SELECT *, CASE WHEN address % 2 = 0 THEN 'Grn' ELSE 'Red' END AS own FROM s)
+  SELECT sample_label, channel, count(*) AS n, sum(mean)::DOUBLE AS total FROM g WHERE channel != own GROUP BY ALL""")
+def out_of_band_background(spark, sf_dir):
+    """What probes of one channel show in the other."""
+    with scratch(spark) as d:
+        p = scans(spark, sf_dir, d)
+        manifest = p.select(F.col("p_partkey").cast("long").alias("address"), F.when(F.col("p_partkey") % 2 == 0, "Grn").otherwise("Red").alias("channel"))
+        b = me.out_of_band(idat.read_idat(spark, d, 0), manifest)
+        return kept(b.groupBy("sample_label", "channel").agg(F.count("*").alias("n"), F.sum("intensity").alias("total")))
+
+
+@query(f"""WITH s AS ({SCANNED}), o AS (SELECT *, address % 2 = 0 AS green FROM s WHERE n_beads >= 1),
+  b AS (SELECT sample_label, channel, mean FROM o WHERE green != (channel = 'Grn')),
+  f AS (SELECT * FROM o WHERE green = (channel = 'Grn')),
+  p AS (SELECT f.sample_label, f.address // 4 AS probe, min((SELECT avg(CASE WHEN b.mean >= f.mean THEN 1 ELSE 0 END) FROM b WHERE b.sample_label = f.sample_label AND b.channel = f.channel)) AS p FROM f GROUP BY ALL),
+  a AS (SELECT sample_label, address // 4 AS probe, count(DISTINCT (address // 2) % 2) AS alleles FROM f GROUP BY ALL)
+  SELECT sample_label, 'cg' || probe AS probe_id, true AS "inside", true AS same FROM p JOIN a USING (sample_label, probe) WHERE p <= 0.5 AND alleles = 2""")
+def folder_to_betas(spark, sf_dir):
+    """From a folder of scans to betas: which probes are detected, that betas lie between 0 and 1, and that M values are theirs."""
+    with scratch(spark) as d:
+        p = scans(spark, sf_dir, d)
+        k = F.col("p_partkey")
+        manifest = p.select(k.cast("long").alias("address"), F.when(k % 2 == 0, "Grn").otherwise("Red").alias("channel"), F.concat(F.lit("cg"), F.floor(k / 4)).alias("probe_id"), F.when(F.floor(k / 2) % 2 == 0, "meth").otherwise("unmeth").alias("allele"))
+        listed = spark.createDataFrame([(f"{d}/chips",)], "idat_dir string")
+        b = me.preprocess_folder(spark, manifest, samples=listed, threshold=0.5)
+        same = F.abs(F.col("m_value") - F.log2(F.col("beta") / (1 - F.col("beta")))) < 1e-9
+        return kept(b.select("sample_label", "probe_id", ((F.col("beta") > 0) & (F.col("beta") < 1)).alias("inside"), same.alias("same")))
+
+
+@query("""SELECT 'cg' || vec_id AS probe_id, 'S' || (i - 1) AS sample_label, round(embedding[i]::DOUBLE, 6) + 0 AS beta FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
+def annotated_to_long(spark, sf_dir):
+    """Columns that describe probes are no samples."""
+    w = wide_betas(spark, sf_dir).withColumns({"type": F.lit("I"), "channel": F.lit("Grn"), "probe_type": F.lit("cg")})
+    return rounded(me.wide_to_long(w))
+
+
+@query("""SELECT 'cg' || p_partkey AS probe_id, 's' || (p_size % 4) AS sample_label FROM part WHERE p_retailprice > 0 AND p_size % 3 != 0 AND p_partkey % 5 != 0""")
+def betas_without_gaps(spark, sf_dir):
+    """Probes without an intensity, or masked, have no beta in the output."""
+    p = table(spark, sf_dir, "part")
+    raw = p.select(F.concat(F.lit("cg"), "p_partkey").alias("probe_id"), F.concat(F.lit("s"), F.col("p_size") % 4).alias("sample_label"), F.when(F.col("p_size") % 3 != 0, F.col("p_retailprice")).alias("meth"), (F.col("p_size") * 10.0).alias("unmeth"))
+    notes = p.select(F.concat(F.lit("cg"), "p_partkey").alias("probe_id"), (F.col("p_partkey") % 5 == 0).alias("quality"))
+    return me.mask_probes(me.intensities_to_betas(raw).where("beta IS NOT NULL"), notes).select("probe_id", "sample_label")
+
+
+@query("""WITH e AS (SELECT event_type AS sample_label, CASE WHEN event_id % 2 = 0 THEN 'Grn' ELSE 'Red' END AS channel, event_id AS probe_id, value + event_id * 1e-7::DOUBLE AS intensity FROM events),
+  r AS (SELECT *, row_number() OVER (PARTITION BY sample_label, channel ORDER BY intensity) AS i, count(*) OVER (PARTITION BY sample_label, channel) AS n FROM e),
+  k AS (SELECT sample_label, min(n) AS n FROM r GROUP BY 1), t AS (SELECT r.* FROM r JOIN k USING (sample_label) WHERE r.i <= k.n)
+  SELECT sample_label, channel, probe_id, round(avg(intensity) OVER (PARTITION BY sample_label, i), 5) AS intensity FROM t""")
+def dye_bias(spark, sf_dir):
+    """As many probes of each channel, all of different intensities: each rank gets the mean of both channels."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("sample_label"), F.when(F.col("event_id") % 2 == 0, "Grn").otherwise("Red").alias("channel"), F.col("event_id").alias("probe_id"), (F.col("value") + F.col("event_id") * 1e-7).alias("intensity"))
+    channel = Window.partitionBy("sample_label", "channel")
+    ranked = e.withColumn("i", F.row_number().over(channel.orderBy("intensity")))
+    least = ranked.groupBy("sample_label", "channel").agg(F.count("*").alias("n")).groupBy("sample_label").agg(F.min("n").alias("n"))
+    even = ranked.join(least, "sample_label").where("i <= n").drop("i", "n")
+    return rounded(me.correct_dye_bias(even), 5)
+
+
+# ---------------------------------------------------------------- ages of persons, and ages that are missing
+
+
+@query(f"WITH {CLOCK_SQL} SELECT station, clock, row_number() OVER (PARTITION BY station, clock ORDER BY sample_label) - 1 AS place, round(age, 6) + 0 AS age FROM ages")
+def individual_ages(spark, sf_dir):
+    """Every sample's age, in the order of samples; only on request."""
+    a = ages(spark, sf_dir)
+    if outcome(lambda: ck.individual_ages(a)) != "BadInput":
+        raise AssertionError("ages of persons are given unasked")
+    return rounded(ck.individual_ages(a, True).select("station", "clock", F.posexplode("ages").alias("place", "age")).withColumn("place", F.col("place").cast("long")))
+
+
+@query(f"""WITH {CLOCK_SQL} SELECT station, clock, count(age) AS n, round(avg(age), 6) + 0 AS mean, round(stddev_pop(age), 6) AS std, round(min(age), 6) + 0 AS "min", round(max(age), 6) + 0 AS "max"
+  FROM (SELECT station, clock, CASE WHEN n_missing = 0 THEN age END AS age FROM ages) GROUP BY ALL""")
+def clock_missing_ages(spark, sf_dir):
+    """Samples that lack a probe of a clock have no age, and no part in its statistics."""
+    coefs = spark.createDataFrame(COEFS, "clock string, probe_id string, coef double")
+    a = ck.clock_ages(SiteFrame(betas(spark, sf_dir)), coefs, spark.createDataFrame(CLOCKS, "clock string, intercept double, link string"), missing="null")
+    return rounded(ck.clock_station_stats(a))
+
+
+@query(f"""WITH {CLOCK_SQL}, t AS (SELECT 'Organization ' || station AS organization, clock, mean FROM st UNION ALL SELECT 'Global (Weighted)', clock, sum(mean * n) / sum(n) FROM st GROUP BY clock)
+  SELECT row_number() OVER (ORDER BY organization = 'Global (Weighted)', organization) - 1 AS line, organization, {", ".join(f"round(max(mean) FILTER (clock = '{c}'), 2) + 0 AS {c}" for c, _, _ in CLOCKS)} FROM t GROUP BY organization""")
+def clock_text(spark, sf_dir):
+    """The table of means as plain text, read back line by line."""
+    names = [c for c, _, _ in CLOCKS]
+    text = ck.format_means_table(ck.clock_means_table(ck.clock_station_stats(ages(spark, sf_dir)), names))
+    rows = []
+    for line in text.splitlines():
+        if line.startswith((ck.SITE, ck.GLOBAL)):
+            name, *numbers = line.rsplit(maxsplit=len(names))
+            rows.append((len(rows), name.strip(), *map(float, numbers)))
+    return rounded(spark.createDataFrame(rows, "line bigint, organization string, " + ", ".join(f"{c} double" for c in names)), 2)

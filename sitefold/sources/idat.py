@@ -10,7 +10,6 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,26 +21,28 @@ PROBES, ADDRESS, DEVIATION, MEAN, BEADS = 1000, 102, 103, 104, 107
 _SCHEMA = "path string, address bigint, mean int, sd int, n_beads int"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def find_idat_files(spark: SparkSession, directory: str) -> DataFrame:
     """path of every file below directory whose suffix is .idat in any case; only listings are read."""
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[iI][dD][aA][tT]").load(directory)
-    except AnalysisException:
+    if not exists(spark, directory):
         return spark.createDataFrame([], "path string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[iI][dD][aA][tT]").load(directory)
     return files.select("path")
 
 
 def sample_manifest(spark: SparkSession, idat_dir: str | None = None, uri: str | None = None, fallback: str | None = None) -> DataFrame:
-    """sample_label, idat_dir: distinct samples of the first of idat_dir, uri and fallback that is given.
+    """sample_label, idat_dir: distinct samples of idat_dir, or of uri; of fallback only where neither is there.
 
-    A file stands for its folder. If the first has no scans the fallback is searched; else the frame is empty.
+    A file stands for its folder. A folder without scans has no samples.
     """
     for place in (idat_dir or uri, fallback):
-        if not place:
-            continue
-        folder = place.rsplit("/", 1)[0] if place.lower().endswith(".idat") else place
-        labels = find_idat_files(spark, folder).select(sample_label(F.col("path")).alias("sample_label")).distinct()
-        if not labels.isEmpty():
+        folder = place.rsplit("/", 1)[0] if place and place.lower().endswith(".idat") else place
+        if folder and exists(spark, folder):
+            labels = find_idat_files(spark, folder).select(sample_label(F.col("path")).alias("sample_label")).distinct()
             return labels.orderBy("sample_label").withColumn("idat_dir", F.lit(folder))
     return spark.createDataFrame([], "sample_label string, idat_dir string")
 

@@ -34,10 +34,6 @@ def test_query_equals_sql(spark, con, name):
     assert norm(tuple(r) for r in got.select(*[f"`{c}`" for c in names]).collect()) == norm(want.fetchall())
 
 
-def test_components_query(spark):
-    assert catalog.QUERIES["pca_components"](spark, DATA).count() > 0
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -38,8 +38,9 @@ def test_reshape_and_join(spark):
     m = me.with_m_values(long)
     joined = me.join_beta_m(long, m.drop("beta"))
     assert joined.count() == 4 and joined.where("probe_id = 'cg1' AND sample_label = 's1'").first()["m_value"] == pytest.approx(math.log2(0.1 / 0.9))
-    with pytest.raises(BadInput):
-        me.join_beta_m(long.union(long), m.drop("beta"))
+    for betas, ms in ((long.union(long), m.drop("beta")), (long, m.drop("beta").union(m.drop("beta")))):
+        with pytest.raises(Exception, match="repeated"):
+            me.join_beta_m(betas, ms).collect()
     with pytest.raises(BadInput):
         me.wide_to_long(spark.createDataFrame([("cg1",)], "id string"))
 
