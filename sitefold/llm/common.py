@@ -82,7 +82,9 @@ def _marked(df: DataFrame, ids: DataFrame, key: str, mark: str = "found_bit") ->
         return F.pmod(F.xxhash64(x.cast("string")), F.lit(FILTER_BITS))
 
     block, bits, place = (unused(x, df.columns) for x in ("bit_block", "bit_map", "bit_place"))
-    at = ids.select(bit(F.col(key)).alias("bit"))
+    # a bit of every block, so that the bitmap has one size whatever ids there are
+    every = ids.sparkSession.range(FILTER_BITS // _BUCKET_BITS).select((F.col("id") * _BUCKET_BITS).alias("bit"))
+    at = ids.select(bit(F.col(key)).alias("bit")).unionByName(every)
     n, within = (F.col("bit") / _BUCKET_BITS).cast("int"), (F.col("bit") % _BUCKET_BITS).cast("int")
     maps = at.groupBy(n.alias(block + "_")).agg(F.bitmap_construct_agg(within).alias(bits))
     own = bit(df[key])
