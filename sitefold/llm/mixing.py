@@ -156,7 +156,8 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
     """Every row of docs as often as the mix takes it."""
     sources = plan(cut(sizes(docs)))
     row = unused("row", docs.columns)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)).withColumns({"doc_id": F.col(row)["doc_id"], "source": F.col(row)["source"], "size": _size(F.col(row)["text"])})
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)).withColumns({"doc_id": F.col(row)["doc_id"], "source": F.col(row)["source"]})
+    whole = whole.withColumn("size", F.explode(F.array(_size(F.col(row)["text"]))))  # counted once, however often it is named
     out = decide(_with_odds(whole, sources)).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(f"`{row}`.*")
 

@@ -3,13 +3,14 @@
 from collections import Counter
 
 import pytest
-from helpers import DATA, lower
+from helpers import DATA, empty, lower, nasty
 from test_corpus_ops import brute_targets, check_packing
 from test_dedup import brute_near
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
 from sitefold.llm import quality_crf as qc
+from sitefold.llm.common import cut
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +77,20 @@ def test_registered(spark):
     names = [n for n in q if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert q["pipeline"](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("table", [nasty, empty])
+def test_stages_on_odd_tables(spark, table):
+    """Nulls, empty and long texts, repeated rows, clashing names and an empty table, through every stage in turn."""
+    docs = table(spark)
+    columns, sizes = docs.columns, [docs.count()]
+    for i, (_, stage) in enumerate(cp.STAGES):
+        docs = cut(stage(spark, docs, DATA))
+        sizes.append(docs.count())
+        if i < 4:
+            assert docs.columns == columns
+    if table is empty:
+        assert set(sizes) == {0}
+    else:
+        assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] > 0 and sizes[4] > 0 and sizes[5] > 0
+        check_packing(docs.collect(), 2048)
