@@ -29,7 +29,7 @@ PRIMES = (2147483647, 2147483629)
 BASE = 1000003
 CHUNK = 4096
 #: Bytes above which a text is hashed in sections, and bytes of a section.
-HUGE, SECTION = 16 << 20, 1 << 20
+HUGE, SECTION = 4 << 20, 1 << 20
 #: Bytes of text compared at once.
 PIECE = 1 << 16
 #: Members compared against one copy of a group's text.
