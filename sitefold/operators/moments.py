@@ -27,11 +27,19 @@ def station_moments(frame: SiteFrame, columns: Sequence[str], group: str | None
     df = frame.df.where(frame.value(group).isNotNull()) if group else frame.df
     keys = [col(frame.station).alias("station"), *([frame.value(group).cast("string").alias("group")] if group else [])]
     names = [k for k in ("station", "group") if group or k == "station"]
-    aggs = [F.count("*").alias("n_rows")]
-    for i, c in enumerate(columns):
-        x = frame.number(c)
+    return moment_rows(df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *moment_aggregates([frame.number(c) for c in columns])), names, columns)
+
+
+def moment_aggregates(values: Sequence[Column]) -> list[Column]:
+    """The aggregates of each of values, numbered by its place."""
+    aggs = []
+    for i, x in enumerate(values):
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.var_samp(x).alias(f"var{i}"), F.sum(x).alias(f"sum{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
-    wide = df.groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def moment_rows(wide: DataFrame, names: list[str], columns: Sequence[str]) -> DataFrame:
+    """A row per column from wide(names, n_rows, moment_aggregates of columns)."""
     each = [
         F.struct(F.lit(c).alias("column"), *[F.col(f"{s}{i}").alias(s) for s in STATS[:-1]], (F.col("n_rows") - F.col(f"n{i}")).alias("missing"))
         for i, c in enumerate(columns)

@@ -9,10 +9,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import BadInput
+from ..errors import BadInput, PolicyViolation
 from ..frame import SiteFrame, col
 from ..policy import Policy
-from .moments import check_privacy, merge_moments, station_moments
+from .moments import check_columns, merge_moments, moment_aggregates, moment_rows, station_moments
+from .quantiles import station_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -49,8 +50,10 @@ def numeric_summary(frame: SiteFrame, columns: Sequence[str], policy: Policy | N
     std is merged from the sites' central moments, which equals the second round over deviations from the
     common mean. A hidden metric is null, and std too if variances are hidden.
     """
-    policy = policy or Policy()
-    m = station_moments(frame, columns)
+    return _numeric_summary(station_moments(frame, columns), policy or Policy())
+
+
+def _numeric_summary(m: DataFrame, policy: Policy) -> DataFrame:
     spread = merge_moments(m, ["column"]).select(F.col("column").alias("_c"), F.sqrt("var").alias("std"))
     sums = m.groupBy("column").agg(F.sum("n").alias("count"), F.sum("missing").alias("missing"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"))
     out = sums.join(spread, F.col("column") == F.col("_c"), "left").drop("_c").withColumn("mean", F.try_divide("sum", "count"))
@@ -60,28 +63,30 @@ def numeric_summary(frame: SiteFrame, columns: Sequence[str], policy: Policy | N
     return out.select("column", "count", "missing", "min", "max", "sum", "mean", "std")
 
 
-def quartiles(frame: SiteFrame, columns: Sequence[str], approximate: bool = False, per_station: bool = True) -> DataFrame:
+def quartiles(frame: SiteFrame, columns: Sequence[str], approximate: bool = False, per_station: bool = True, values: int | None = None) -> DataFrame:
     """station, column, q25, median, q75, iqr: exact with linear interpolation.
 
-    Exact quartiles hold a count per distinct value of a site in memory; approximate=True bounds that.
+    Exact quartiles first count every column's values (unless values names the most there are in a site) and
+    take memory that doesn't grow with them; see quantiles.py. approximate=True takes one scan.
     Quartiles are not merged across sites; per_station=False asks for those of all rows together.
     """
     frame.require(columns)
-    at = F.array(*map(F.lit, QUARTILES))
-    pick = (lambda x: F.percentile_approx(x, at, F.lit(10_000))) if approximate else (lambda x: F.percentile(x, at))
-    aggs = [pick(frame.number(c)).alias(f"q{i}") for i, c in enumerate(columns)]
-    keys = [col(frame.station).alias("station")] if per_station else []
-    wide = frame.df.groupBy(*keys).agg(*aggs)
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)])
     names = ["station"] if per_station else []
+    if approximate:
+        at = F.array(*map(F.lit, QUARTILES))
+        keys = [col(frame.station).alias("station")] if per_station else []
+        wide = frame.df.groupBy(*keys).agg(*[F.percentile_approx(frame.number(c), at, F.lit(10_000)).alias(f"q{i}") for i, c in enumerate(columns)])
+    else:
+        wide = station_quantiles(frame, columns, QUARTILES, per_station, values)
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q")) for i, c in enumerate(columns)])
     long = wide.select(*names, F.explode(each).alias("s")).select(*names, "s.column", "s.q")
     q = [F.col("q")[i] for i in range(3)]
     return long.select(*names, "column", q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), (q[2] - q[0]).alias("iqr"))
 
 
-def quartile_lists(frame: SiteFrame, columns: Sequence[str]) -> DataFrame:
+def quartile_lists(frame: SiteFrame, columns: Sequence[str], values: int | None = None) -> DataFrame:
     """column and, in the order of sites, an array of every site's quartiles and range between them."""
-    q = quartiles(frame, columns)
+    q = quartiles(frame, columns, values=values)
     return q.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("station", "q25", "median", "q75", "iqr"))).alias("quartiles"))
 
 
@@ -200,21 +205,40 @@ def summary(frame: SiteFrame, columns: Sequence[str] | None = None, numeric: Seq
     """All summaries of columns (all, if none are named), after the policy's rules on rows and columns.
 
     Columns named as numeric may be text that holds numbers; numeric ones that aren't named are categorical.
+    One aggregate of one scan gives a row per site, which comes back and serves the rules and all parts but
+    quartiles and value counts.
     """
     policy = policy or Policy()
     frame = frame.include(stations)
     numbers, others = split_columns(frame, columns, numeric)
-    everything = [c for c in (columns or frame.columns)]
-    check_privacy(frame, everything, policy)
+    everything = list(columns or frame.columns)
+    check_columns(everything, policy)
     text = [c for c in numbers if not frame.is_numeric(c)]
+    cast = {c: col(c).try_cast("double") for c in text}
+    value = {c: F.nanvl(cast[c], F.lit(None)) if c in cast else frame.value(c) for c in everything}
+    full = F.lit(True)
+    for c in everything:
+        full = full & value[c].isNotNull()
+    counts = [F.count(frame.value(c)).alias(f"known{i}") for i, c in enumerate(everything)]
+    bad = [F.count_if(col(c).isNotNull() & cast[c].isNull()).alias(f"bad{i}") for i, c in enumerate(text)]
+    found = frame.df.groupBy(col(frame.station).alias("station")).agg(
+        F.count("*").alias("n_rows"), *counts, *bad, F.count_if(full).alias("complete_rows"), *moment_aggregates([value[c] if c in cast else frame.number(c) for c in numbers])
+    )
+    rows = found.collect()
+    below = [str(r["station"]) for r in rows if min([r["n_rows"], *[r[f"known{i}"] for i in range(len(everything))]]) < policy.min_rows]
+    if below:
+        raise PolicyViolation(f"sites below {policy.min_rows} rows or values: {sorted(below)}")
+    wrong = {c: sum(r[f"bad{i}"] for r in rows) for i, c in enumerate(text)}
+    if any(wrong.values()):
+        raise BadInput(f"not numeric: {', '.join(f'{c} ({n} values)' for c, n in wrong.items() if n)}")
+    sites = frame.df.sparkSession.createDataFrame(rows, found.schema)
     if text:
-        frame = cast_numeric(frame, text)
+        frame = SiteFrame(frame.df.withColumns(cast), frame.station)
+    known = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"known{everything.index(c)}").alias("count")) for c in others])
     return Summary(
-        numeric_summary(frame, numbers, policy) if numbers else None,
-        quartile_lists(frame, numbers) if numbers else None,
-        categorical_summary(frame, others) if others else None,
+        _numeric_summary(moment_rows(sites, ["station"], numbers), policy) if numbers else None,
+        quartile_lists(frame, numbers, max([r["n_rows"] for r in rows], default=0)) if numbers else None,
+        sites.select("n_rows", F.explode(known).alias("s")).groupBy("s.column").agg(F.sum("s.count").alias("count"), F.sum(F.col("n_rows") - F.col("s.count")).alias("missing")) if others else None,
         value_counts(frame, others, policy) if others else None,
-        complete_rows(frame, everything, policy),
+        _hide(sites.select("station", "complete_rows"), policy, {"num_complete_rows": "complete_rows"}),
     )
-
-

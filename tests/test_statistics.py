@@ -220,3 +220,52 @@ def test_frames(spark):
         f.require(["c"])
     with pytest.raises(BadInput):
         SiteFrame(one)
+
+
+def test_exact_quartiles_by_narrowing(spark, monkeypatch):
+    from sitefold.operators import quantiles as qu
+
+    monkeypatch.setattr(qu, "DIRECT", 4)
+    monkeypatch.setattr(qu, "INSIDE", 3)
+    rng = random.Random(5)
+    rows = [("a", rng.lognormvariate(0, 9), float(rng.randrange(3)), None) for _ in range(3000)]
+    rows += [(None, rng.choice([-math.inf, 0.0, 1.0, math.inf, math.nan]), float(i), 7.0) for i in range(500)]
+    rows += [("one", 2.5, None, math.nan), ("b", -1.0, -2.0, 1.0), ("b", None, 4.0, 2.0)]
+    f = SiteFrame(spark.createDataFrame(rows, "station string, x double, y double, z double"))
+
+    def brute(values):
+        v = sorted(v for v in values if v is not None and not math.isnan(v))
+        out = []
+        for q in (0.25, 0.5, 0.75):
+            place = q * (len(v) - 1)
+            lo, hi = (v[math.floor(place)], v[math.ceil(place)]) if v else (None, None)
+            out.append(lo if lo == hi else (1 - place % 1) * lo + place % 1 * hi)
+        return out
+
+    for per_station in (True, False):
+        seen = su.quartiles(f, ["x", "y", "z"], per_station=per_station).collect()
+        assert len(seen) == (12 if per_station else 3)
+        for r in seen:
+            want = brute([x["xyz".index(r["column"]) + 1] for x in rows if not per_station or x[0] == r["station"]])
+            got = [r["q25"], r["median"], r["q75"]]
+            assert all(g is None if w is None else g == pytest.approx(w, rel=1e-12) for g, w in zip(got, want, strict=True)), (r, want)
+
+
+def test_intervals_that_miss_their_rank_are_widened():
+    from sitefold.operators.quantiles import _Rank
+
+    r = _Rank(50, low=3.0, high=9.0, outer=(None, 20.0))
+    r.seen(60, 61, 5, 70, None, 10)
+    assert (r.low, r.high, r.slack, r.found, r.ready) == (None, 20.0, 4, None, False)
+    r.seen(0, 0, 55, 80, None, 10_000)
+    assert r.ready and r.skip == 50
+
+
+def test_summary_takes_one_aggregate_for_its_rules_and_parts(frame):
+    s = su.summary(frame, ["v", "n", "grp"], policy=Policy(min_rows=1, privacy_threshold=1))
+    assert "ExistingRDD" in s.numeric._jdf.queryExecution().executedPlan().toString()
+    for a, b in ((s.numeric, su.numeric_summary(frame, ["v", "n"])), (s.categorical, su.categorical_summary(frame, ["grp"])), (s.complete_rows, su.complete_rows(frame, ["v", "n", "grp"]))):
+        one, two = ({tuple(r): None for r in df.orderBy(df.columns[0]).collect()} for df in (a, b))
+        assert list(one) == list(two)
+    with pytest.raises(PolicyViolation):
+        su.summary(frame, ["v"], policy=Policy(min_rows=6))
