@@ -23,6 +23,8 @@ ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +40,9 @@ SKETCH_BITS = 2048
 SCREEN = 0.73
 #: Documents of a bucket that are compared with those of another block at once.
 BLOCK = 1024
+#: Pairs of sketches that take about as long to compare as handing a pair of blocks to Python, and such units of a task.
+PAIRS = 8192
+TASK_GROUPS = 1024
 
 _TOP = np.uint64(54)  # 64 - log2(BINS)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -203,9 +208,12 @@ def search_buckets(placed: DataFrame, buckets: DataFrame, best: bool) -> DataFra
     """
     spread = placed.select("doc_id", "component", F.posexplode("bands").alias("band", "value")).join(buckets.where("n > 2").select("band", "value", "lead"), ["band", "value"]).where("doc_id != lead")
     sizes = spread.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    sizes = cut(sizes.select("band", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    if sizes.isEmpty():
+    sizes = cut(sizes.select("band", "value", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    cost = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2 + F.col("n") * F.col("n") / PAIRS)).first()[0]
+    if cost is None:
         return None
+    tasks = max(math.ceil(cost / TASK_GROUPS), placed.sparkSession.sparkContext.defaultParallelism)
+    sizes = sizes.drop("n")
     m = spread.join(sizes, ["band", "value"]).select("band", "value", "blocks", "doc_id")
     # the bands serve to find the first that two documents share
     bands = F.lit(None).cast("array<int>") if best else F.transform("bands", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
@@ -215,6 +223,7 @@ def search_buckets(placed: DataFrame, buckets: DataFrame, best: bool) -> DataFra
     right = m.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).select([F.col(c).alias(c) for c in columns])
     keys = ["band", "value", "i", "j"]
     search = lambda key, a, b: _search_block(key, a, b, best)
+    left, right = (x.repartition(tasks, *keys) for x in (left, right))  # by work: bytes say little of it
     found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(search, "u bigint, v bigint, bits bigint")
     if best:
         found = found.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("b")).select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v"))
