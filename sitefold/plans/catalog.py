@@ -7,12 +7,14 @@ Means, tests and spreads are rounded in both engines, so that the order of summa
 from __future__ import annotations
 
 import json
+import shutil
 import statistics
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -735,13 +737,53 @@ def matrix_files(spark, sf_dir):
     return spark.createDataFrame([(k, v["cpg_sites"], v["samples"], v["exists"]) for k, v in info.items()], "name string, cpg_sites bigint, samples bigint, exists boolean")
 
 
+def derby_jar(spark, df: DataFrame, name: str, folder: str) -> str:
+    """Address of a read-only database in folder that holds df as a table, which driver and executors can open at once.
+
+    Derby lets one process open a database, or any number if it lies in a jar: executors write the rows as CSV, the
+    driver's Derby imports those files into a database of its own, and that goes into a jar. Derby opens no other
+    file systems than mounted ones, so folder must be on one.
+    """
+    jvm, sql = spark.sparkContext._jvm, {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "CLOB"}
+    df.write.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/{name}")
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = [f.getPath() for f in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+    derby, none = jvm.org.apache.derby.jdbc.EmbeddedDriver(), jvm.java.util.Properties()
+    with tempfile.TemporaryDirectory() as d:
+        c = derby.connect(f"jdbc:derby:{d}/db;create=true", none)
+        c.createStatement().execute(f"CREATE TABLE {name} ({', '.join(f'{k} {sql[t]}' for k, t in df.dtypes)})")
+        for i, f in enumerate(f for f in files if f.getName().endswith(".csv")):
+            f.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyToLocalFile(f, jvm.org.apache.hadoop.fs.Path(f"file://{d}/{i}.csv"))
+            load = c.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(null, ?, ?, null, null, 'UTF-8', 0)")
+            load.setString(1, name.upper())
+            load.setString(2, f"{d}/{i}.csv")
+            load.execute()
+        c.close()
+        derby_stop(spark, f"jdbc:derby:{d}/db")
+        with open(shutil.make_archive(f"{d}/{name}", "zip", d, "db"), "rb") as packed:
+            write_file(spark, f"{folder}/{name}.jar", packed.read())
+    return f"jdbc:derby:jar:({jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()}/{name}.jar)db"
+
+
+def derby_stop(spark, url: str) -> None:
+    """Closes a database of the driver's Derby, which says so by an error."""
+    jvm = spark.sparkContext._jvm
+    try:
+        jvm.org.apache.derby.jdbc.EmbeddedDriver().connect(f"{url};shutdown=true", jvm.java.util.Properties())
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":
+            raise
+
+
 @query("""SELECT r_regionkey, r_name FROM region""")
 def jdbc_table(spark, sf_dir):
-    """A table written to and read from a database within the driver."""
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    driver = "org.apache.derby.jdbc.EmbeddedDriver"
-    table(spark, sf_dir, "region").select("r_regionkey", "r_name").coalesce(1).write.format("jdbc").options(url=url, dbtable="region", driver=driver).save()
-    return kept(so.read_jdbc(spark, url, "region", driver=driver).toDF("r_regionkey", "r_name"))
+    """A table read from a database by the executors."""
+    with scratch(spark) as d:
+        url = derby_jar(spark, table(spark, sf_dir, "region").select("r_regionkey", "r_name"), "region", d)
+        try:
+            return kept(so.read_jdbc(spark, url, "region", driver="org.apache.derby.jdbc.EmbeddedDriver").toDF("r_regionkey", "r_name"))
+        finally:
+            derby_stop(spark, url)
 
 
 def scans(spark, sf_dir, folder: str) -> DataFrame:

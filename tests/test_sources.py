@@ -1,9 +1,14 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sitefold import BadInput
 from sitefold.functions.scalar import body_mass_index, m_value, sample_label
+from sitefold.plans import catalog
 from sitefold.sources import idat, tables
 
 
@@ -62,3 +67,33 @@ def test_scalars(spark):
     assert rows[1]["bmi"] == float("inf") and np.isnan(rows[2]["bmi"])
     label = spark.createDataFrame([("/a_Red/b_Grn_R01_grn.idat",)], "p string").select(sample_label(F.col("p")).alias("l")).first()["l"]
     assert label == "b_R01"
+
+
+ON_A_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from sitefold.plans import catalog
+data, shared = sys.argv[1:]
+s = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.driver.host", "127.0.0.1").config("spark.executor.memory", "600m").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + shared).getOrCreate()
+s.createDataFrame([(i, "name %d" % i) for i in range(5)], "r_regionkey int, r_name string").repartition(3).write.parquet("file://" + data + "/region.parquet")
+got = catalog.jdbc_table(s, "file://" + data).orderBy("r_regionkey").collect()
+assert [tuple(r) for r in got] == [(i, "name %d" % i) for i in range(5)], got
+s.stop()
+"""
+
+
+def test_jdbc_where_executors_are_other_processes(tmp_path):
+    (tmp_path / "shared").mkdir()
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([home, os.environ.get("PYTHONPATH", "")]), "PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", ON_A_CLUSTER, str(tmp_path / "data"), str(tmp_path / "shared")], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert not [f for f in os.listdir(tmp_path / "shared") if f.startswith("sitefold-files-")]
+
+
+def test_jdbc_keeps_odd_values(spark, tmp_path):
+    rows = [(1, 'a "b", c'), (2, None), (3, " x\ny\\ "), (None, "ä \U0001f600"), (5, "")]
+    url = catalog.derby_jar(spark, spark.createDataFrame(rows, "id bigint, name string").repartition(2), "odd", str(tmp_path / "d"))
+    got = tables.read_jdbc(spark, url, "odd", driver="org.apache.derby.jdbc.EmbeddedDriver").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+    catalog.derby_stop(spark, url)
