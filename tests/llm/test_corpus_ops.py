@@ -232,6 +232,54 @@ def test_every_copy_in_a_later_document_is_found(spark):
     assert sorted(r["start_word"] for r in got) == starts and {r["n_words"] for r in got} == {90}
 
 
+def edited(rnd, passage, gaps, word):
+    """The passage with another word about every so many words."""
+    out, at = list(passage), rnd.randrange(8, gaps)
+    while at < len(out):
+        out[at] = word()
+        at += rnd.randrange(9, gaps)
+    return out
+
+
+@pytest.mark.parametrize("others", [1, 3, 70])
+def test_fuzzy_passages_whose_seeds_occur_first_elsewhere(spark, others):
+    """Every few words of a passage stand in documents of their own before; of two later ones that hold it, edited, neither holds it first."""
+    rnd = random.Random(14)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    prose = lambda n: [word() for _ in range(n)]
+    rows, want, texts = [], set(), {}
+    for i in range(6):
+        passage = prose(80)
+        for lo in range(0, 80, 10):
+            for n in range(others):
+                rows.append(row(1000 * i + 100 * (lo // 10) + n, " ".join(prose(12) + passage[max(0, lo - 4) : lo + 14] + prose(9))))
+        for n, t in enumerate((passage, edited(rnd, passage, 16, word))):
+            texts[1000 * i + 900 + n] = t
+            rows.append(row(1000 * i + 900 + n, " ".join(prose(30) + t + prose(20))))
+        want.add((1000 * i + 901, 1000 * i + 900))
+    got = sd.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["first_id"]) for r in got} == want
+    assert all(r["n_words"] >= 70 and r["similarity"] >= 0.8 for r in got)
+
+
+def test_pairs_that_share_runs_equal_brute_force():
+    rnd = np.random.default_rng(16)
+    line = rnd.integers(1, 9999, 20)
+    rows = rnd.integers(1, 9999, (90, 94)).astype(np.uint16)
+    rows[:, 40:50] = line[:10]  # a phrase of all
+    rows[::7, 30:50] = line
+    rows[::5, :30] = rows[0, :30]
+    rows[3, 60:] = rows[2, 60:] = 0
+    got = {(int(a), int(b)) for i, j in sd._candidates(rows) for a, b in zip(i, j, strict=True)}
+    runs = [Counter(zip(r[:-1].tolist(), r[1:].tolist(), strict=True)) for r in rows]
+    want = {(i, j) for i in range(90) for j in range(i) if (runs[i] & runs[j]).total() >= sd.THREES + ((0, 0) in runs[i] & runs[j]) * 99}
+    assert len(want) > 100 and got >= want and len(got) < 90 * 89 / 4
+    pairs = np.array([(i, j) for i in range(90) for j in range(i)])
+    alike = sd._alike(sd._counted(rows), *pairs.T)
+    twos = [Counter(r[r > 0].tolist()) for r in rows]
+    assert alike.tolist() == [(twos[i] & twos[j]).total() >= sd.TWOS for i, j in pairs.tolist()]
+
+
 # ---------------------------------------------------------------- mixing
 
 
