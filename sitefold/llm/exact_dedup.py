@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, rows_with, slices, small_batches, string_bytes, unused, without
+from .common import cut, read, rows_with, slices, small_batches, string_bytes, tidy, unused, without
 
 #: Two primes below 2^31: a chunk of 4096 bytes sums below 2^53, so float64 products are exact.
 PRIMES = (2147483647, 2147483629)
@@ -124,11 +124,11 @@ def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int =
                 fps.append(whole[0][0] << 31 | whole[1][0])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["s", "n", "joined"])
 
-    hashed = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, fp bigint, n_bytes bigint, text_sha256 string, no int, section binary"))
+    hashed = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {id_type}, fp bigint, n_bytes bigint, text_sha256 string, no int, section binary"))
     columns = ["doc_id", "fp", "n_bytes", "text_sha256"]
     whole = hashed.where("no IS NULL").groupBy(*columns).agg(F.count("*").alias("n_rows"))
     sections = hashed.where("no IS NOT NULL").select("text_sha256", "n_bytes", "no", "section").repartition("text_sha256", "no")
-    parts = sections.mapInArrow(hash_sections, "text_sha256 string, n_bytes bigint, no int, h0 bigint, h1 bigint, size bigint").distinct()
+    parts = sections.mapInArrow(tidy(hash_sections), "text_sha256 string, n_bytes bigint, no int, h0 bigint, h1 bigint, size bigint").distinct()
     parts = parts.groupBy("text_sha256", "n_bytes").agg(F.array_sort(F.collect_list(F.struct("no", "h0", "h1", "size"))).alias("parts"))
     joined = parts.mapInArrow(join_sections, "s string, n bigint, joined bigint")
     # few texts are that long, and only those lack a fingerprint
@@ -159,7 +159,7 @@ def text_pieces(docs: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["d", "tag", "n_bytes", "no", "piece"])
 
-    return docs.mapInArrow(run, f"d {id_type}, tag bigint, n_bytes bigint, no int, piece binary")
+    return docs.mapInArrow(tidy(run), f"d {id_type}, tag bigint, n_bytes bigint, no int, piece binary")
 
 
 def compare(docs: DataFrame, members: DataFrame) -> DataFrame:

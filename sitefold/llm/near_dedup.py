@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, hash_words, mix, read, rows_with, shingles, slices, small_batches, string_bytes, without
+from .common import cut, discard, hash_words, mix, read, rows_with, shingles, slices, small_batches, string_bytes, tidy, without
 from .components import components
 
 BINS = 1024
@@ -136,7 +136,7 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {id_type}, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def _differing(a: str, b: str):
@@ -165,7 +165,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
 
     one = text.join(pairs, "u").select("u", "v", "text")
     two = one.join(text.select(F.col("u").alias("v"), F.col("text").alias("kept_text")), "v").select("u", "v", "text", "kept_text")
-    return two.mapInArrow(run, "u bigint, v bigint").distinct()
+    return two.mapInArrow(tidy(run), "u bigint, v bigint").distinct()
 
 
 def _search_block(key, left: pd.DataFrame, right: pd.DataFrame, best: bool) -> pd.DataFrame:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, small_batches
-from .tokens import Encoder
+from .common import cut, read, release, small_batches, tidy
+from .tokens import encoder_of
 
 LENGTH = 2048
 END_ID = 0
@@ -35,8 +35,6 @@ CHILDREN = 120
 #: A sequence this close to full (a part of its capacity) stays closed for good.
 SLACK = 1 / 256
 
-_encoders: dict[str, Encoder] = {}
-
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
@@ -44,8 +42,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+        encoder = encoder_of(tokenizer)
         for b in batches:
+            release()  # what the batch before took
             row, piece, start, size, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1)):
                 ids = encoder.ids(text.as_py() or "") + end
@@ -57,8 +56,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                     size.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget()  # the encoder lives on with the worker; a task's words come anew at little cost
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 # ---------------------------------------------------------------- the genetic algorithm, on one block
@@ -208,7 +208,7 @@ def evolve_islands(islands: DataFrame, capacity: int, epoch: int) -> DataFrame:
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.binary())), strict=True)], ["block", "island", "n_bins", "fill", "elite"])
 
-    return islands.select("block", "island", "lengths", "elite", "round").mapInArrow(run, "block bigint, island int, n_bins int, fill double, elite array<binary>")
+    return islands.select("block", "island", "lengths", "elite", "round").mapInArrow(tidy(run), "block bigint, island int, n_bins int, fill double, elite array<binary>")
 
 
 def _sequences(winners: DataFrame, capacity: int) -> DataFrame:
@@ -225,7 +225,7 @@ def _sequences(winners: DataFrame, capacity: int) -> DataFrame:
                 total = np.cumsum(size) - size
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (uid, size, uid[first][which], total - total[first][which], np.bincount(which, size)[which].astype(np.int64))], ["uid", "length", "sequence_id", "offset", "filled"])
 
-    return winners.mapInArrow(run, "uid bigint, length bigint, sequence_id bigint, offset bigint, filled bigint")
+    return winners.mapInArrow(tidy(run), "uid bigint, length bigint, sequence_id bigint, offset bigint, filled bigint")
 
 
 def pack(items: DataFrame, capacity: int = LENGTH) -> DataFrame:

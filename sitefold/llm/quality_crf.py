@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, bucket_of, hash_words, mix, read, slices, small_batches, string_bytes
+from .common import _IS_SPACE, bucket_of, hash_words, mix, read, slices, small_batches, string_bytes, tidy
 
 TRAIN_PER_CLASS = 1500
 TRAIN_LINES = 500
@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # at most 2 * TRAIN_PER_CLASS ids are broadcast, and as many documents' measures come back
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = sample.groupBy("doc_id", "quality").agg(F.max("text").alias("text")).select("quality", "text")  # one row of a repeated doc_id
-    got = sample.mapInArrow(run, "quality int, own binary, weight binary").collect()
+    got = sample.mapInArrow(tidy(run), "quality int, own binary, weight binary").collect()
     got = sorted(((r["quality"], bytes(r["own"]), bytes(r["weight"])) for r in got), key=lambda r: r[1:])[: 2 * TRAIN_PER_CLASS]
     quality = np.array([q for q, _, _ in got])
     if len(set(quality.tolist())) < 2:
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_texts(model, b.column(1)), pa.float64())], ["doc_id", "score"])
 
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, score double")
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {id_type}, score double")
     return out.select("doc_id", F.coalesce(bucket_of(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -274,7 +274,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(score_texts(model, b.column(at)) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

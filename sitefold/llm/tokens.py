@@ -80,9 +80,20 @@ class Encoder:
                 return self._piece(low) + (self._piece(m[2]) if m[2] else b"")
         return self._whole(chunk)
 
+    def forget(self) -> None:
+        self.known, self.older = _Known(self._new), {}
+
     def ids(self, text: str) -> bytes:
         if _ODD.search(text):
             return self._whole(text)
         if len(self.known) > REMEMBER:
             self.older, self.known = self.known, _Known(self._new)
         return b"".join(map(self.known.__getitem__, text.split()))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The one of this process. A function sent to workers must not hold the table of them itself: each task would get a copy."""
+    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))

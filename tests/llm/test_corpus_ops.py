@@ -436,6 +436,37 @@ def test_packing_documents(spark):
     assert pk.pack_documents(empty(spark), TOKENIZER).count() == 0
 
 
+def test_workers_are_small_after_packing(spark):
+    """Python workers outlive a task, and the memory they keep counts as the executor's in every later stage."""
+    import re
+
+    import pyarrow as pa
+
+    def own(batches):
+        for _ in batches:
+            with open("/proc/self/smaps_rollup") as f:
+                mb = int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+            yield pa.RecordBatch.from_arrays([pa.array([mb])], ["mb"])
+
+    def largest():
+        return max(r["mb"] for r in spark.range(64).repartition(64).mapInArrow(own, "mb double").collect())
+
+    words = "array_join(transform(sequence(1, 4000), i -> translate(substr(sha2(concat(id, 'x', i), 256), 1, 9), '0123456789', 'ghijklmnop')), ' ')"
+    docs = spark.range(0, 160, 1, 8).select(F.col("id").alias("doc_id"), F.expr(words).alias("text"))
+    assert pk.pieces(docs.limit(1).repartition(8), TOKENIZER).count() > 0
+    before = largest()
+    assert pk.pieces(docs, TOKENIZER).count() > 160
+    assert largest() - before < 20
+
+
+def test_memory_is_given_back_when_a_task_ends(monkeypatch):
+    from sitefold.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    assert list(common.tidy(lambda batches: (2 * b for b in batches))([1, 2])) == [2, 4] and len(calls) == 1
+
+
 # ---------------------------------------------------------------- host rules
 
 
