@@ -11,6 +11,7 @@ from sitefold.llm import host_rules as hr
 from sitefold.llm import mixing as mx
 from sitefold.llm import packing as pk
 from sitefold.llm import substring_dedup as sd
+from sitefold.llm.common import cut
 from sitefold.llm.tokens import Encoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -262,6 +263,52 @@ def test_fuzzy_passages_whose_seeds_occur_first_elsewhere(spark, others):
     assert all(r["n_words"] >= 70 and r["similarity"] >= 0.8 for r in got)
 
 
+def screened(docs):
+    """The pairs of documents that are aligned because a third one has their seeds first."""
+    parts = sd.parts_for(docs)
+    links = cut(sd.by_hash(sd.seeds(docs, parts), sd._links(False), sd.LINK))
+    return sd.other_pairs(docs, links, sd.repeated_passages(docs)).select("doc", "first").collect()
+
+
+def test_runs_of_one_word_dont_pair_all_documents(spark):
+    """Of documents with a run of one word only those that share more are aligned, and a passage with such a run is found."""
+    rnd = random.Random(21)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    prose = lambda n: [word() for _ in range(n)]
+    rows = [row(i, " ".join(prose(30) + ["of"] * 32 + prose(30))) for i in range(90)]
+    passage = prose(20)
+    whole = passage[:10] + ["of"] * 32 + passage[10:]
+    rows.append(row(90, " ".join(prose(15) + passage[:10] + prose(25))))
+    rows.append(row(91, " ".join(prose(15) + passage[10:] + prose(25))))
+    rows += [row(i, " ".join(prose(15) + whole[:5] + [word()] + whole[6:47] + [word()] + whole[48:] + prose(25))) for i in (92, 93)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in screened(docs)} <= {(93, 92)}
+    assert (93, 92) in {(r["doc_id"], r["first_id"]) for r in sd.repeated_passages(docs).collect()}
+
+
+def test_short_texts_are_nobodys_first_place(spark):
+    rnd = random.Random(22)
+    line = [f"w{rnd.randrange(10**9)}" for _ in range(30)]
+    rows = [row(i, " ".join(line)) for i in range(40)] + [row(40 + i, " ".join(line + [f"v{i}x{k}" for k in range(40)])) for i in range(2)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    links = sd.by_hash(sd.seeds(docs, sd.parts_for(docs)), sd._links(False), sd.LINK).collect()
+    assert links and {(r["doc"], r["first"]) for r in links} == {(41, 40)}
+
+
+def test_bitmaps_never_say_less_than_is_shared():
+    rnd = np.random.default_rng(23)
+    rows = rnd.integers(0, 9999, (60, 94)).astype(np.uint16)
+    rows[::2, 20:60] = rnd.integers(1, 60, 40) * sd.MAP_BITS % 65536
+    rows[::3, :30] = rows[0, 0]
+    rows[5] = 0
+    bits, spare = sd._bitmaps(rows)
+    i, j = np.array([(i, j) for i in range(60) for j in range(i)]).T
+    twos = [Counter(r[r > 0].tolist()) for r in rows]
+    shared = np.array([(twos[a] & twos[b]).total() for a, b in zip(i, j, strict=True)])
+    most = sd._most_shared(bits, spare, i, j)
+    assert (most >= shared).all() and (most < sd.TWOS).sum() > 100
+
+
 def test_pairs_that_share_runs_equal_brute_force():
     rnd = np.random.default_rng(16)
     line = rnd.integers(1, 9999, 20)
